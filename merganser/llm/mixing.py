@@ -105,3 +105,14 @@ def mix(df: DataFrame, weights: Sequence[int] = (1, 2, 3), id_col: str = "doc_id
     words = taken_up_to(F.col("end"), *args) - taken_up_to(F.col("end") - F.col("size"), *args)
     out = full.select("_id", "source", "size", words.cast("long").alias("taken"))
     return matched(out, known.select("source", "source_size", "target"), ["source"]).select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "taken")
+
+
+def repeated_rows(df: DataFrame, weights: Sequence[int] = (1, 2, 3), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST, seed: int = 42) -> DataFrame:
+    """The rows of `df`, each as often as the mix takes it: taken / size, rounded up or down by a draw that follows from seed and id. Documents without words stay once."""
+    mixed = mix(df, weights, id_col, text_col, source_col, most, seed=seed)
+    share = F.col("taken") / F.col("size")
+    draw = seeded(seed + 3, F.col(id_col)) / F.lit(float(1 << 32))
+    times = F.when(F.col("size") > 0, F.floor(share) + (draw < share - F.floor(share)).cast("int")).otherwise(F.lit(1)).cast("int")
+    per_id = mixed.groupBy(F.col(id_col)).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).select(id_col, times.alias("_times"))
+    rows = matched(df, per_id.filter("_times > 0"), [id_col])
+    return rows.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*df.columns)

@@ -6,14 +6,26 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from merganser.llm import bpe_automaton, mixing, quality, simhash, token_count
+from merganser.llm import bpe_automaton, extraction, language, mixing, quality, simhash, suffix_dedup, token_count, top_k, toxicity
 
 #: The folder of public vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
 
 
+TOP_K_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
+  from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id
+), r as (
+  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s
+) select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
+
 def vocabulary(name: str = "byte_bpe_50k.json", folder: str = TOKENIZERS) -> bytes:
     return Path(folder, name).read_bytes()
 
@@ -26,6 +38,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
 def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode(documents(spark, sf_dir), vocabulary())
 
@@ -42,13 +58,29 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(documents(spark, sf_dir))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir))
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_automaton, op3_token_counts, op4_source_mix, op5_simhash, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_bpe_automaton, op3_token_counts, op4_source_mix, op5_simhash, op6_language_id, op7_exact_top_k, op8_toxicity, op9_main_text, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_exact_top_k": TOP_K_SQL}

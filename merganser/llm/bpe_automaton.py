@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from merganser.llm.shared import encoded, per_batch
+from merganser.llm.shared import encoded, map_batches, per_batch
 
 #: The pattern that splits text into words, as the vocabulary's publisher states it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -209,7 +209,7 @@ def encode(df: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_col: s
         return work
 
     few = df.select(df[id_col], df[text_col].cast("string").alias("_text"))
-    return few.mapInArrow(per_batch(make), f"{id_col} {few.dtypes[0][1]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * token_ids)
+    return map_batches(few, per_batch(make), f"{id_col} {few.dtypes[0][1]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * token_ids)
 
 
 def decode(df: DataFrame, vocabulary: bytes, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
@@ -226,4 +226,4 @@ def decode(df: DataFrame, vocabulary: bytes, id_col: str = "doc_id", ids_col: st
         return work
 
     few = df.select(df[id_col], df[ids_col].alias("_ids"))
-    return few.mapInArrow(per_batch(make), f"{id_col} {few.dtypes[0][1]}, text string")
+    return map_batches(few, per_batch(make), f"{id_col} {few.dtypes[0][1]}, text string")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merganser.llm.shared import per_batch
+from merganser.llm.shared import map_batches, per_batch
 
 #: Labelled pages that are learned from: those with one article element, of the smallest hash of the address.
 PAGES = 400
@@ -227,4 +227,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         return work
 
     few = pages.select(pages[id_col], pages[url_col].cast("string").alias("_url"), pages[html_col].cast("string").alias("_html"))
-    return few.mapInArrow(per_batch(make), f"{id_col} {few.dtypes[0][1]}, {url_col} string, text string, n_chars long")
+    return map_batches(few, per_batch(make), f"{id_col} {few.dtypes[0][1]}, {url_col} string, text string, n_chars long")

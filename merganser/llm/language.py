@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from merganser.llm.shared import encoded, per_batch
+from merganser.llm.shared import encoded, map_batches, per_batch
 
 #: Bytes of the longest context.
 ORDER = 3
@@ -166,4 +166,4 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         return work
 
     few = df.select(df[id_col], (fold(id_col, folds) == held_out).alias("_held"), df[text_col].cast("string").alias("_text"))
-    return few.mapInArrow(per_batch(make), f"{id_col} {few.dtypes[0][1]}, held_out boolean, lang_pred string, score double")
+    return map_batches(few, per_batch(make), f"{id_col} {few.dtypes[0][1]}, held_out boolean, lang_pred string, score double")

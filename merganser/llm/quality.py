@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from merganser.llm.shared import encoded, per_batch
+from merganser.llm.shared import encoded, map_batches, per_batch
 
 #: By n-gram length: the largest share of the characters in words that repeats may cover.
 LIMITS = {5: 0.30, 7: 0.25, 10: 0.20}
@@ -119,7 +119,7 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     few = df.select(df[id_col], df[text_col].cast("string").alias("_text"))
     longs = ", ".join(f"{x} long" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
-    return few.mapInArrow(per_batch(make), f"{id_col} {few.dtypes[0][1]}, {longs}, base_failed boolean, kept boolean, " + ", ".join(f"coverage_{k} double" for k in LIMITS) + ", coverage_lines double")
+    return map_batches(few, per_batch(make), f"{id_col} {few.dtypes[0][1]}, {longs}, base_failed boolean, kept boolean, " + ", ".join(f"coverage_{k} double" for k in LIMITS) + ", coverage_lines double")
 
 
 def kept_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,4 +130,4 @@ def kept_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = encoded(batch.column(batch.schema.get_field_index(text_col)))
             yield batch.filter(pa.array([verdicts(measured(text))[1] for text in texts], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, df.schema)

@@ -6,6 +6,7 @@ single bytes in UTF-8 and the very set `bytes.split()` splits on, so words are s
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -45,6 +46,19 @@ def per_batch(make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBa
     return run
 
 
+#: Bytes of a batch that goes to Python at once: with the lists and arrays made of it, a few times this much memory.
+BATCH = 8 << 20
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """`mapInArrow` with batches bounded in bytes: the session's limit is lowered to `BATCH` if it is higher or unset."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", conf.get(key, ""))
+    if not now or not 0 < int(now[1]) <= BATCH:
+        conf.set(key, str(BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def encoded(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merganser.llm.shared import encoded, per_batch, staged
+from merganser.llm.shared import encoded, map_batches, per_batch, staged
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Fingerprints that differ in so many bits at most are linked.
@@ -75,7 +75,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return work
 
     few = df.select(df[id_col], df[text_col].cast("string").alias("_text"))
-    return few.mapInArrow(per_batch(make), f"{id_col} {few.dtypes[0][1]}, print long")
+    return map_batches(few, per_batch(make), f"{id_col} {few.dtypes[0][1]}, print long")
 
 
 def list_key(free: tuple[int, ...], prints: F.Column) -> F.Column:
@@ -169,7 +169,7 @@ def near_links(distinct: DataFrame, column: str = "print") -> DataFrame:
     """Pairs (a, b) of distinct fingerprints within the radius, enough to connect all that are connected."""
     rows = distinct.select(F.col(column).alias("print"), F.explode(F.array(*(list_key(free, F.col(column)) for free in FREE))).alias("k"))
     lists = rows.select("k.free", "k.bytes", "print").repartition("free", "bytes").sortWithinPartitions("free", "bytes")
-    return lists.mapInArrow(index_links, "a long, b long").distinct()
+    return map_batches(lists, index_links, "a long, b long").distinct()
 
 
 def components(links: DataFrame, most: int = 64) -> DataFrame:
@@ -216,7 +216,7 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], names=[*batch.schema.names, print_])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    full = staged(df.mapInArrow(work, f"{schema}, {print_} long").withColumn(row, F.monotonically_increasing_id()))
+    full = staged(map_batches(df, work, f"{schema}, {print_} long").withColumn(row, F.monotonically_increasing_id()))
     distinct = full.select(F.col(print_).alias("print")).distinct()
     roots = components(near_links(distinct))
     by_print = distinct.join(roots, distinct.print == roots.node, "left").select(F.col("print").alias(print_), F.coalesce("root", "print").alias("_root"))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merganser.llm.shared import encoded, matched, per_batch, staged
+from merganser.llm.shared import encoded, map_batches, matched, per_batch, staged
 
 #: Bytes of a repeated string.
 LENGTH = 400
@@ -159,7 +159,7 @@ def document_blocks(df: DataFrame, id_col: str, text_col: str, length: int, gram
         return work
 
     few = df.select(df[id_col], df[text_col].cast("string").alias("_text"))
-    return few.mapInArrow(per_batch(make), f"{id_col} {few.dtypes[0][1]}, {BLOCK_FIELDS}")
+    return map_batches(few, per_batch(make), f"{id_col} {few.dtypes[0][1]}, {BLOCK_FIELDS}")
 
 
 def text_bytes(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -261,7 +261,7 @@ def ranges(at: np.ndarray) -> list[dict[str, int]]:
 RANGE_FIELDS = "gram long, content long, found array<struct<first:int,last:int>>"
 
 
-def bucket_repeats(length: int, limit: int = 64 << 20):
+def bucket_repeats(length: int, limit: int = 16 << 20):
     """For a range partition whose rows (gram, content, offset, starts, lead, bytes) come in order of their leading bytes: repeats within each gram.
 
     A whole number of grams is compared at a time, up to `limit` bytes unless one gram has more; its size is bounded by `CROWD`.
@@ -307,7 +307,7 @@ def crowded_repeats(df: DataFrame, length: int) -> DataFrame:
 
         return work
 
-    starts = df.mapInArrow(per_batch(make), "gram long, content long, at int, x long, y long")
+    starts = map_batches(df, per_batch(make), "gram long, content long, at int, x long, y long")
     twice = starts.groupBy("x", "y").agg(F.count("*").alias("n")).filter("n > 1").select("x", "y")
     found = starts.join(twice, ["x", "y"], "left_semi")
     return found.groupBy("gram", "content").agg(F.transform(F.array_sort(F.collect_list("at")), lambda a: F.struct(a.alias("first"), a.alias("last"))).alias("found"))
@@ -356,11 +356,11 @@ def covered_starts(df: DataFrame, id_col: str, text_col: str, length: int, gram:
 
     fields = "gram long, content long, offset int, starts int, lead binary, bytes binary, contents long"
     texts = text_bytes(df, text_col, id_col)
-    fetched = staged(matched(texts, wanted, [id_col]).select("_bytes", "text_hash", "wanted").mapInArrow(fetch, fields).dropDuplicates(["gram", "content"]))
+    fetched = staged(map_batches(matched(texts, wanted, [id_col]).select("_bytes", "text_hash", "wanted"), fetch, fields).dropDuplicates(["gram", "content"]))
     few = fetched.filter(F.col("contents") <= crowd).drop("contents")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = few.repartitionByRange(parts, "lead").sortWithinPartitions("lead")
-    partial = sorted_.mapInArrow(bucket_repeats(length), RANGE_FIELDS)
+    partial = map_batches(sorted_, bucket_repeats(length), RANGE_FIELDS)
     crowded = fetched.filter(F.col("contents") > crowd).drop("contents")
     if crowded.limit(1).count():
         partial = partial.unionByName(crowded_repeats(crowded, length))
@@ -386,7 +386,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     per_id = found.groupBy(id_col).agg(F.collect_list(F.struct("text_hash", "found")).alias("of"))
     few = matched(text_bytes(df, text_col, id_col), per_id, [id_col])
     kind = dict(df.dtypes)[id_col]
-    cut = few.select(id_col, "_bytes", "of").mapInArrow(finish, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = map_batches(few.select(id_col, "_bytes", "of"), finish, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     whole = matched(docs, per_id.select(id_col), [id_col], "left_anti")
     return cut.unionByName(whole.select(id_col, "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256")))
 
@@ -420,4 +420,4 @@ def dedup_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             columns[k] = pa.array(texts, batch.schema[k].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return rows.select(*df.columns, "_found").mapInArrow(cut, df.schema)
+    return map_batches(rows.select(*df.columns, "_found"), cut, df.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from merganser.llm.bpe_automaton import KEPT, Vocabulary
-from merganser.llm.shared import per_batch
+from merganser.llm.shared import map_batches, per_batch
 
 
 class Merger:
@@ -99,4 +99,4 @@ def count_tokens(df: DataFrame, vocabulary: bytes, id_col: str = "doc_id", text_
         return work
 
     few = df.select(df[id_col], df[text_col].cast("string").alias("_text"))
-    return few.mapInArrow(per_batch(make), f"{id_col} {few.dtypes[0][1]}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(few, per_batch(make), f"{id_col} {few.dtypes[0][1]}, n_bytes long, n_tokens long, over_limit boolean")

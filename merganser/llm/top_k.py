@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from merganser.llm.shared import per_batch, staged
+from merganser.llm.shared import map_batches, per_batch, staged
 
 #: Pivots: the vectors of the smallest hash of their id.
 PIVOTS = 24
@@ -59,7 +59,7 @@ def packed(rows: DataFrame, name: str, size: int, dim: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({name: pa.array([int(b)], pa.int32()), "ids": pa.array([ids[at].astype(np.int64).tobytes()], pa.binary()), "m": pa.array([m[at].tobytes()], pa.binary())})
 
     dealt = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "v").repartition(blocks, "block").sortWithinPartitions("block")
-    parts = dealt.mapInArrow(pack, f"{name} int, ids binary, m binary")
+    parts = map_batches(dealt, pack, f"{name} int, ids binary, m binary")
     return parts
 
 
@@ -125,6 +125,6 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
 
         return work
 
-    local = pairs.select("qb", "v_ids", "v", "q_ids", "q").mapInArrow(per_batch(make), "query_id long, vec_id long, score long")
+    local = map_batches(pairs.select("qb", "v_ids", "v", "q_ids", "q"), per_batch(make), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

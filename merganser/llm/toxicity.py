@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merganser.llm.language import fold
-from merganser.llm.shared import per_batch
+from merganser.llm.shared import map_batches, per_batch
 
 #: Labelled documents that are learned from, about.
 SAMPLE = 12_000
@@ -208,7 +208,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     if not n or not m:
         share = n / (n + m) if n + m else 0.0
         return Model(Lexicon({}), np.array([0, 0, 0, math.log(max(share, 1e-13) / max(1 - share, 1e-13))]))
-    counts = rows.mapInArrow(words, "word string, toxic int").filter("length(word) > 1").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).cache()
+    counts = map_batches(rows, words, "word string, toxic int").filter("length(word) > 1").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).cache()
     more = counts.filter((F.col("a") >= LEAST) & (F.col("a") * m > 4 * F.col("b") * n)).orderBy(F.desc(F.col("a") / (F.col("b") + 1)), "word").limit(20 * TERMS).collect()
     scored = sorted(((ratio(r.a, r.b, n, m), r.word, r.a, r.b) for r in more), reverse=True)[:TERMS]
     weights = {w: math.log((a + 0.5) / (n + 1)) - math.log((b + 0.5) / (m + 1)) for g, w, a, b in scored if g >= RATIO}
@@ -220,7 +220,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
             found = [bool((f := sent.value.find(w)) and f[1]) for w in batch.column(0).to_pylist()]
             yield batch.filter(pa.array(found, pa.bool_()))
 
-    innocent = counts.filter("b > 0").select("word").mapInArrow(near, "word string")
+    innocent = map_batches(counts.filter("b > 0").select("word"), near, "word string")
     lexicon = Lexicon(weights, frozenset(r.word for r in innocent.toLocalIterator()))
     counts.unpersist()
     sent = df.sparkSession.sparkContext.broadcast(lexicon)
@@ -231,7 +231,7 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
             x = np.array([features(t or "", hits) for t in batch.column(1).to_pylist()], np.float64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([pa.array([float(y > 0) for y in batch.column(0).to_pylist()], pa.float64()), *(pa.array(x[:, i]) for i in range(3))], names=["y", "a", "b", "c"])
 
-    seen = np.array([tuple(r) for r in rows.mapInArrow(measured, "y double, a double, b double, c double").collect()])
+    seen = np.array([tuple(r) for r in map_batches(rows, measured, "y double, a double, b double, c double").collect()])
     order = np.lexsort(seen.T)
     return Model(lexicon, fitted(seen[order, 1:], seen[order, 0]))
 
@@ -252,4 +252,4 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return work
 
     few = df.select(df[id_col], (fold(id_col, folds) == held_out).alias("_held"), df[text_col].cast("string").alias("_text"))
-    return few.mapInArrow(per_batch(make), f"{id_col} {few.dtypes[0][1]}, held_out boolean, score double, predicted int")
+    return map_batches(few, per_batch(make), f"{id_col} {few.dtypes[0][1]}, held_out boolean, score double, predicted int")

@@ -53,7 +53,7 @@ BATCH = 8 << 20
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
     """`mapInArrow` with batches bounded in bytes: the session's limit is lowered to `BATCH` if it is higher or unset."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(\d+)b?", conf.get(key, ""))
+    now = re.fullmatch(r"(\d+)b?", conf.get(key))
     if not now or not 0 < int(now[1]) <= BATCH:
         conf.set(key, str(BATCH))
     return df.mapInArrow(run, schema)

@@ -246,8 +246,8 @@ def repeated_starts(contents: list[bytes], offset: np.ndarray, starts: np.ndarra
         return [np.empty(0, np.int64)] * n
     rows, at = np.concatenate(found, axis=1)
     by = np.lexsort((at, rows))
-    cuts = np.searchsorted(rows[by], np.arange(n + 1))
-    return [at[by][cuts[i] : cuts[i + 1]] for i in range(n)]
+    at, cuts = at[by], np.searchsorted(rows[by], np.arange(n + 1))
+    return [at[cuts[i] : cuts[i + 1]] for i in range(n)]
 
 
 def ranges(at: np.ndarray) -> list[dict[str, int]]:

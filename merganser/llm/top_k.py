@@ -3,7 +3,8 @@
 Vectors become integers, floor(scale * x). For integers q and v the squared distance is |q|^2 + |v|^2 - 2 <q, v>, so a lower bound of the distance is an
 upper bound of the product. The table holds each vector's distances to many pivots; by the triangle inequality the distance of q and v is
 at least the largest difference of their distances to a pivot. Candidates of a block are evaluated in the order of their bounds, in slices,
-until the k-th best product so far is above every bound left: no later candidate can enter, nor tie.
+until the k-th best product so far is above every bound left: no later candidate can enter, nor tie. Where pivots tell little, as with vectors without clusters,
+and the first slice leaves more than an eighth of a block standing, these are evaluated in one product.
 
 Queries are the rows whose id is divisible by `every`, a stated set; they and all rows are packed into blocks, and each pair of blocks gives
 each query's k best there. The k best of those are the result: what leaves a block is k rows a query, whatever its size.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from merganser.llm.shared import map_batches, per_batch, staged
 
 #: Pivots: the vectors of the smallest hash of their id.
-PIVOTS = 24
+PIVOTS = 12
 #: Queries and candidates of a block.
 QUERIES, CANDIDATES = 4096, 16384
 #: Queries whose bounds are made at once, and candidates of the first slice.
@@ -80,22 +81,33 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray,
         bound = (qq[at : at + SOME, None] + vv - low * low) / 2
         for i in range(len(some)):
             b, own, x = bound[i], q_ids[at + i], q[at + i]
-            todo = np.flatnonzero(v_ids != own)
-            best_ids, best = np.empty(0, np.int64), np.empty(0)
-            size = SLICE
-            while len(todo):
-                if len(todo) > size:
-                    by = np.argpartition(-b[todo], size)
-                    now, todo = todo[by[:size]], todo[by[size:]]
+            b[v_ids == own] = -np.inf
+            best_ids, best, todo = np.empty(0, np.int64), np.empty(0), np.arange(len(v))
+
+            def take(ids, scores):
+                ids, scores = np.concatenate([best_ids, ids]), np.concatenate([best, scores])
+                by = np.lexsort((ids, -scores))[:k]
+                return ids[by], scores[by]
+
+            if len(v) > SLICE:
+                todo = np.argpartition(-b, SLICE)[:SLICE]
+            todo = todo[b[todo] > -np.inf]
+            made += len(todo)
+            best_ids, best = take(v_ids[todo], v[todo] @ x)
+            if len(v) > SLICE:
+                b[todo] = -np.inf
+                todo = np.flatnonzero(b >= best[-1]) if len(best) == k else np.flatnonzero(b > -np.inf)
+                if len(todo) * 8 > len(v):  # so many are left that all at once is less work than one slice after another
+                    made += len(todo)
+                    scores = (v @ x)[todo]
+                    near = scores >= best[-1] if len(best) == k else np.ones(len(todo), bool)
+                    best_ids, best = take(v_ids[todo[near]], scores[near])
                 else:
-                    now, todo = todo, todo[:0]
-                best_ids, best = np.concatenate([best_ids, v_ids[now]]), np.concatenate([best, v[now] @ x])
-                made += len(now)
-                by = np.lexsort((best_ids, -best))[:k]
-                best_ids, best = best_ids[by], best[by]
-                if len(best) == k:
-                    todo = todo[b[todo] >= best[-1]]
-                size *= 2
+                    todo = todo[np.argsort(-b[todo], kind="stable")]
+                    while len(todo) and (len(best) < k or b[todo[0]] >= best[-1]):
+                        now, todo = todo[:SLICE], todo[SLICE:]
+                        made += len(now)
+                        best_ids, best = take(v_ids[now], v[now] @ x)
             out.append((np.full(len(best), own), best_ids, best))
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), 0

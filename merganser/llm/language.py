@@ -29,6 +29,8 @@ from merganser.llm.shared import encoded, map_batches, per_batch
 ORDER = 3
 #: Documents of each language that are learned from, and the bytes of text at which a language has enough: whole documents up to there.
 ROWS, BYTES = 300, 1_000_000
+#: Candidates for the sample, as a multiple of it. A language most of whose rows are empty or repeated can give fewer documents.
+AMPLE = 8
 #: Bytes that are scored at once.
 CHUNK = 1 << 19
 LETTER = regex.compile(r"\p{L}")
@@ -141,8 +143,11 @@ class Trees:
 def training_texts(df: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = ROWS, size: int = BYTES) -> dict[str, list[bytes]]:
     """Up to `rows` whole texts of each language, fewer once they have `size` bytes; the choice depends on ids and texts alone."""
     few = df.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.col(text_col).alias("text"), F.octet_length(F.col(text_col)).alias("n")).filter("lang is not null and n > 0")
+    # Only hashes low enough for `AMPLE` times the sample are ordered, whatever the size of the table.
+    sizes = df.select(F.col(lang_col).alias("_lang")).filter("_lang is not null").groupBy("_lang").agg(F.count("*").alias("of"))
+    low = few.select("lang", "h", "n").join(F.broadcast(sizes), F.col("lang") == F.col("_lang")).filter((F.col("h") / 2.0**64 + 0.5) * F.col("of") < AMPLE * rows)
     order = Window.partitionBy("lang").orderBy("h")
-    sample = few.select("lang", "h", "n").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows)
+    sample = low.select("lang", "h", "n").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows)
     sample = sample.withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).filter(F.col("before") < size).select("lang", "h")
     chosen = few.join(F.broadcast(sample), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
     out: dict[str, list[bytes]] = {}

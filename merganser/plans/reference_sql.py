@@ -50,13 +50,13 @@ def wiring_values(wiring: np.ndarray) -> str:
 
 
 def tagged(view: str, how: str, first: bool, p: str = "a", cells: int = ranking.SMALL, version: str = "v3-response") -> str:
-    """CTEs that end in {p}_tag: (key, seq, cell)."""
+    """CTEs that end in {p}_tag: (key, seq, cell). Large steps are materialized: inlined, joins may be ordered so that they spill without bound."""
     n = len(channel_set(version))
     k = tags.active(cells, ranking.SPARSITY)
     return known(view, how, first, p) + (
-        f", {p}_v as (select key, seq, {vector(version)} as q from {p}_known), {p}_x as (select key, seq, unnest(q) as x, generate_subscripts(q, 1) - 1 as channel, list_sum(q) as s from {p}_v), "
-        f"{p}_act as (select key, seq, cell, sum(x * {n} - s) as activation from {p}_x join (select * from {wiring_values(ranking.wiring(cells, version))}) using (channel) group by key, seq, cell), "
-        f"{p}_tag as (select key, seq, cell, activation from (select *, row_number() over (partition by key, seq order by activation desc, cell) as place from {p}_act) where place <= {k})"
+        f", {p}_v as materialized (select key, seq, {vector(version)} as q from {p}_known), {p}_x as (select key, seq, unnest(q) as x, generate_subscripts(q, 1) - 1 as channel, list_sum(q) as s from {p}_v), "
+        f"{p}_act as materialized (select key, seq, cell, sum(x * {n} - s) as activation from {p}_x join (select * from {wiring_values(ranking.wiring(cells, version))}) using (channel) group by key, seq, cell), "
+        f"{p}_tag as materialized (select key, seq, cell, activation from (select *, row_number() over (partition by key, seq order by activation desc, cell) as place from {p}_act) where place <= {k})"
     )
 
 

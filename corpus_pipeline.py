@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merganser.llm import bpe_automaton, mixing, quality, simhash, suffix_dedup
+from merganser.llm import bpe_automaton, mixing, near_copies, quality, suffix_dedup
 from merganser.llm.queries import vocabulary
 from merganser.llm.shared import staged
 
@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies (Jaccard similarity of 5-word shingles 0.8 or more) stays: the one of the smallest doc_id."""
+    return near_copies.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("simhash near-dedup", near_duplicates),
+    ("near-dedup", near_duplicates),
     ("suffix-array dedup", repeated_passages),
     ("source mix", mixed_sources),
     ("bpe encoding", tokens),

@@ -83,12 +83,13 @@ def ingest_int_coercion(spark, d):
 
 @query(f"select seq, host, status, length from ({E_}) where seq < 500")
 def ingest_document_results(spark, d):
-    """A wrapper document of the first records, written and read again (IO3)."""
+    """Wrapper documents of all records, one for each range of 500, written and read again (IO3)."""
     from merganser.sources.responses import document_rows
 
     path = tempfile.mkdtemp() if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir')}/document"
-    rows = events(spark, d).filter("seq < 500").select(F.to_json(F.struct("seq", "host", "status", "length")).alias("r"))
-    rows.agg(F.concat(F.lit('{"results": ['), F.array_join(F.collect_list("r"), ","), F.lit("]}"))).write.mode("overwrite").text(f"{path}/d")
+    rows = events(spark, d).select(F.floor(F.col("seq") / 500).alias("part"), F.to_json(F.struct("seq", "host", "status", "length")).alias("r"))
+    documents = rows.groupBy("part").agg(F.concat(F.lit('{"results": ['), F.array_join(F.collect_list("r"), ","), F.lit("]}")).alias("value"))
+    documents.write.mode("overwrite").partitionBy("part").text(f"{path}/d")
     return document_rows(spark, f"{path}/d").select(F.from_json("value", "seq long, host string, status int, length long").alias("r")).select("r.*")
 
 

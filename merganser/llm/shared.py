@@ -6,6 +6,7 @@ single bytes in UTF-8 and the very set `bytes.split()` splits on, so words are s
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -19,18 +20,40 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folders of this machine, by application, where the session names no shared one (tests).
+LOCAL: dict[str, str] = {}
+#: Applications whose run folder goes when the driver ends.
+LEAVING: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines of the cluster see; a folder of this machine only where the setting is unset (tests)."""
     name = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not name:
-        name = "file://" + tempfile.mkdtemp(prefix="staged-")
-        spark.conf.set("spark.checkpoint.dir", name)
-    return name
+    return name or LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="staged-"))
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder in the shared one; it goes when the driver ends, or with `released`."""
+    app = spark.sparkContext.applicationId
+    if app not in LEAVING:
+        LEAVING.add(app)
+        atexit.register(released, spark)
+    return f"{shared_dir(spark).rstrip('/')}/run-{app}"
+
+
+def released(spark: SparkSession) -> None:
+    """Deletes all that was staged by this application. Results that haven't been read yet are lost with it."""
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception as e:  # the session may have ended before
+        if spark.sparkContext._jsc is not None:
+            raise e
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder and read again: later steps don't compute it anew, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    """`df` written to the run folder and read again: later steps don't compute it anew, and a lost executor loses nothing."""
+    path = f"{run_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -51,7 +74,10 @@ BATCH = 8 << 20
 
 
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
-    """`mapInArrow` with batches bounded in bytes: the session's limit is lowered to `BATCH` if it is higher or unset."""
+    """`mapInArrow` with batches bounded in bytes: the session's limit is lowered to `BATCH` if it is higher or unset.
+
+    The plan reads that setting when it runs, which is after this returns, so the setting stays.
+    """
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = re.fullmatch(r"(\d+)b?", conf.get(key))
     if not now or not 0 < int(now[1]) <= BATCH:

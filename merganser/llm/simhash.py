@@ -4,13 +4,14 @@ Fingerprint: XXH64 (seed 42) of every 3-word shingle, repeats included, in lower
 a bit is 1 if set in over half of them. A text of fewer words is one shingle; a text without words (null included)
 has the fingerprint zero, which links like any other.
 
-Two fingerprints that differ in at most 3 bits share at least 5 of their 8 positional bytes: the guaranteed minimum.
-So the inverted index lists each distinct fingerprint under every choice of 5 byte positions with the bytes there;
-members of a list share these 5, the tally of the other positions is counted per pair within the list, and pairs that
-reach the minimum are verified bit by bit. A list has at most 2^24 members, as 24 bits are left free, however many copies a group holds:
-equal fingerprints are one entry. A short list is compared in blocks; in a long one each member looks up its 2,324 neighbours
-within 3 of the free bits, so no list gives all its pairs. Each list emits only the links of a spanning forest of its
-own, which loses no connection.
+Two fingerprints that differ in at most 3 bits share at least 5 of their 8 positional bytes: the guaranteed minimum. Of any
+5 positions, 3 are in the lower or 3 in the upper four. So the inverted index lists each distinct fingerprint under every choice of 3 positions of
+either half with the bytes there, 8 lists in all, and no such pair misses another. In a list, shared positional bytes are tallied for each pair, over all 8 positions; pairs
+that reach the minimum are verified bit by bit.
+
+A list is compared in blocks in memory. One of more than `LONG` members is indexed again by two positions more (a pair of the minimum shares two of the other five), and where even that leaves
+more, each member looks up its 2,324 neighbours within 3 of the free bits: the same pairs, without comparing all. Copies are
+one entry, however many. Each list emits only the links of a spanning forest of its own, which loses no connection.
 
 Groups are the connected components of these links over distinct fingerprints, by alternating large-star and
 small-star steps on tables in the shared folder, until nothing changes.
@@ -37,10 +38,14 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 RADIUS = 3
 #: Positional bytes that such a pair shares at least.
 SHARED = 8 - RADIUS
-#: The free bytes of each list: the 56 choices of 3 positions out of 8.
+#: The positions of each list: the choices of 3 in either half.
+LISTS = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
+#: The positions that a pair of the minimum may differ in: the 56 choices of 3 out of 8.
 FREE = list(combinations(range(8), RADIUS))
-#: Members up to which a list is compared pair by pair, in blocks.
-SHORT = 2_000
+#: Members beyond which a list is indexed by more positions.
+LONG = 4_096
+#: Parts that the rows of one fingerprint are dealt to.
+SALTS = 8
 #: Shingles whose bits are added up at once.
 BLOCK = 1 << 15
 
@@ -78,11 +83,10 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_batches(few, per_batch(make), f"{id_col} {few.dtypes[0][1]}, print long")
 
 
-def list_key(free: tuple[int, ...], prints: F.Column) -> F.Column:
-    """The bytes of a fingerprint outside the free positions, with the choice of positions in their place."""
-    mask = reduce(lambda m, p: m & ~(0xFF << 8 * p), free, (1 << 64) - 1)
-    signed = mask - (1 << 64) if mask >> 63 else mask
-    return F.struct(F.lit(FREE.index(free)).cast("byte").alias("free"), prints.bitwiseAND(F.lit(signed)).alias("bytes"))
+def list_key(number: int, prints: F.Column) -> F.Column:
+    """The list's number, and the bytes of a fingerprint at its positions."""
+    mask = reduce(lambda m, p: m | 0xFF << 8 * p, LISTS[number], 0)
+    return F.struct(F.lit(number).cast("byte").alias("list"), prints.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("bytes"))
 
 
 def neighbours(prints: np.ndarray, free: tuple[int, ...]) -> np.ndarray:
@@ -102,14 +106,33 @@ def neighbours(prints: np.ndarray, free: tuple[int, ...]) -> np.ndarray:
 
 
 def compared(prints: np.ndarray) -> np.ndarray:
-    """Links of a short list: shared positional bytes are tallied for each pair, pairs that reach the minimum are verified."""
+    """Links of a list: shared positional bytes are tallied for each pair, pairs that reach the minimum are verified."""
     out = []
     for at in range(0, len(prints), 256):
-        block = prints[at : at + 256, None] ^ prints[None, :]
-        tally = (block.view(np.uint8).reshape(*block.shape, 8) == 0).sum(axis=2)
-        i, j = np.nonzero((tally >= SHARED) & (np.arange(at, at + len(block))[:, None] < np.arange(len(prints))[None, :]))
+        rest = prints[at:]
+        block = rest[:256, None] ^ rest[None, :]
+        tally = (block.view(np.uint8).reshape(*block.shape, 8) == 0).sum(axis=2, dtype=np.uint8)
+        i, j = np.nonzero(np.triu(tally >= SHARED, 1))
         near = np.bitwise_count(block[i, j]) <= RADIUS
-        out.append(np.stack([prints[at + i[near]], prints[j[near]]], axis=1))
+        out.append(np.stack([rest[i[near]], rest[j[near]]], axis=1))
+    return np.concatenate(out)
+
+
+def positional(prints: np.ndarray, positions: tuple[int, ...]) -> np.ndarray:
+    return prints & np.uint64(reduce(lambda m, p: m | 0xFF << 8 * p, positions, 0))
+
+
+def divided(prints: np.ndarray, shared: tuple[int, ...]) -> np.ndarray:
+    """Links of a long list whose members share some positions: lists by two positions more, and neighbours where these are long, too."""
+    out = [np.empty((0, 2), np.uint64)]
+    for more in combinations([p for p in range(8) if p not in shared], SHARED - len(shared)):
+        key = positional(prints, more)
+        by = np.argsort(key, kind="stable")
+        edges = np.flatnonzero(np.diff(key[by], prepend=key[by[0]] ^ np.uint64(1), append=key[by[-1]] ^ np.uint64(1)))
+        free = tuple(p for p in range(8) if p not in (*shared, *more))
+        for i in np.flatnonzero(np.diff(edges) > 1).tolist():
+            members = prints[by[edges[i] : edges[i + 1]]]
+            out.append(compared(members) if len(members) <= LONG else neighbours(members, free))
     return np.concatenate(out)
 
 
@@ -130,45 +153,61 @@ def forest(links: np.ndarray) -> np.ndarray:
     return np.array(kept, np.uint64).reshape(-1, 2)
 
 
-def list_links(free: int, prints: np.ndarray) -> np.ndarray:
-    if len(prints) == 2:
-        return prints[None, :] if int(prints[0] ^ prints[1]).bit_count() <= RADIUS else np.empty((0, 2), np.uint64)
-    links = compared(prints) if len(prints) <= SHORT else neighbours(prints, FREE[free])
+def list_links(number: int, prints: np.ndarray) -> np.ndarray:
+    links = compared(prints) if len(prints) <= LONG else divided(prints, LISTS[number])
     return links if len(links) < len(prints) else forest(links)
 
 
-def index_links(batches):
-    """Links of lists that arrive in order of their key; a list may go on in the next batch."""
-    rest: tuple[np.ndarray, ...] | None = None
-
-    def links(free, key, prints):
-        new = np.flatnonzero((key[1:] != key[:-1]) | (free[1:] != free[:-1])) + 1
-        edges = np.concatenate([[0], new, [len(key)]])
-        several = np.flatnonzero(np.diff(edges) > 1)
-        return [x for i in several.tolist() if len(x := list_links(int(free[edges[i]]), prints[edges[i] : edges[i + 1]]))]
+def small_links(prints: np.ndarray) -> np.ndarray:
+    """Links of lists of equal length, a row each."""
+    out = []
+    for i, j in combinations(range(prints.shape[1]), 2):
+        differ = prints[:, i] ^ prints[:, j]
+        tally = (differ.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+        near = (tally >= SHARED) & (np.bitwise_count(differ) <= RADIUS)
+        out.append(np.stack([prints[near, i], prints[near, j]], axis=1))
+    return np.concatenate(out)
 
-    def packed(found):
-        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0).view(np.int64)
-        return pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
+def index_links(batches):
+    """Links of the lists, whose rows (list, bytes, print) come in order; a list may go on in the next batch."""
+
+    def links(numbers: np.ndarray, key: np.ndarray, prints: np.ndarray):
+        edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (numbers[1:] != numbers[:-1]), [True]]))
+        sizes = np.diff(edges)
+        for n in np.unique(sizes[(sizes > 1) & (sizes <= 8)]).tolist():
+            yield small_links(prints[edges[:-1][sizes == n][:, None] + np.arange(n)])
+        for i in np.flatnonzero(sizes > 8).tolist():
+            yield list_links(int(numbers[edges[i]]), prints[edges[i] : edges[i + 1]])
+
+    def packed(held: list[tuple]):
+        pairs = np.concatenate([np.empty((0, 2), np.uint64), *links(*(np.concatenate(c) for c in zip(*held)))])
+        if len(pairs):
+            pairs = np.unique(np.sort(pairs, axis=1), axis=0).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    held: list[tuple] = []  # rows of the list that is open
     for batch in batches:
-        cols = tuple(batch.column(i).to_numpy() for i in range(3))
-        if rest is not None:
-            cols = tuple(np.concatenate(x) for x in zip(rest, cols))
-        free, key, prints = cols
-        last = np.flatnonzero((key != key[-1]) | (free != free[-1])) if len(key) else []
-        cut = int(last[-1]) + 1 if len(last) else 0
-        rest = tuple(x[cut:] for x in cols)
-        if found := links(free[:cut], key[:cut], prints[:cut].view(np.uint64)):
-            yield packed(found)
-    if rest is not None and (found := links(rest[0], rest[1], rest[2].view(np.uint64))):
-        yield packed(found)
+        if not len(batch):
+            continue
+        numbers, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cols = numbers, key, batch.column(2).to_numpy().view(np.uint64)
+        other = np.flatnonzero((key != key[-1]) | (numbers != numbers[-1]))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if held and (cut or (held[-1][0][-1], held[-1][1][-1]) != (numbers[0], key[0])):
+            yield from packed([*held, tuple(c[:cut] for c in cols)])
+            held = []
+        elif cut:
+            yield from packed([tuple(c[:cut] for c in cols)])
+        held.append(tuple(c[cut:] for c in cols))
+    if held:
+        yield from packed(held)
 
 
 def near_links(distinct: DataFrame, column: str = "print") -> DataFrame:
     """Pairs (a, b) of distinct fingerprints within the radius, enough to connect all that are connected."""
-    rows = distinct.select(F.col(column).alias("print"), F.explode(F.array(*(list_key(free, F.col(column)) for free in FREE))).alias("k"))
-    lists = rows.select("k.free", "k.bytes", "print").repartition("free", "bytes").sortWithinPartitions("free", "bytes")
+    rows = distinct.select(F.col(column).alias("print"), F.explode(F.array(*(list_key(i, F.col(column)) for i in range(len(LISTS))))).alias("k"))
+    lists = rows.select("k.list", "k.bytes", "print").repartition("list", "bytes").sortWithinPartitions("list", "bytes")
     return map_batches(lists, index_links, "a long, b long").distinct()
 
 
@@ -200,8 +239,10 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     joined = distinct.join(roots, distinct.print == roots.node, "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     found = staged(joined)
     least = found.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = found.join(least, "root").select("print", "component_id")
-    return prints.join(by_print, "print").select(id_col, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    # Rows of one fingerprint are dealt to several tasks, and so each fingerprint's answer stands once for each.
+    by_print = found.join(least, "root").select("print", "component_id", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_salt"))
+    salted = prints.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    return salted.join(by_print, ["print", "_salt"]).select(id_col, F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3) -> DataFrame:

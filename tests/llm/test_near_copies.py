@@ -52,15 +52,28 @@ def test_members_unlike_the_smallest_are_compared(spark):
     words = ["".join(rng.choices("abcdefg", k=5)) for _ in range(500)]
     lone, pair = rng.choices(words, k=100), rng.choices(words, k=100)
     texts = [" ".join(lone), " ".join(pair), " ".join(pair[:-1])]
-    rows = []
-    for i, t in enumerate(texts):
-        of = near_copies.shingles(t.encode())
-        low = near_copies.mixed(near_copies.minima(of))
-        rows.append((i, len(of), [7], bytearray(low.astype("uint8").tobytes()), t))
-    entries = spark.createDataFrame(rows, "_row long, _size long, _bands array<long>, _sketch binary, _text string")
+    prints = [near_copies.fingerprint(near_copies.hashed_words(t.encode())) for t in texts]
+    prints[0][near_copies.CHOSEN[0]] = prints[1][near_copies.CHOSEN[0]]
+    rows = [(i, len(near_copies.shingles(t.encode())), bytearray(p.tobytes()), t) for i, (t, p) in enumerate(zip(texts, prints))]
+    entries = spark.createDataFrame(rows, "_row long, _size long, _print binary, _text string")
     assert {(r.a, r.b) for r in near_copies.links(entries).collect()} == {(1, 2)}
 
 
+def test_pairs_across_groups_of_a_list():
+    """A list of several batches, groups of several blocks: pairs of different groups, of like size, of enough shared bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 256, near_copies.BYTES, np.uint8)
+    prints = np.where(rng.random((1200, near_copies.BYTES)) < 0.3, base, rng.integers(0, 256, (1200, near_copies.BYTES), np.uint8)).astype(np.uint8)
+    roots, sizes = rng.integers(0, 3, 1200), rng.integers(80, 120, 1200)
+    batches = [pa.RecordBatch.from_pydict({"key": pa.array(np.full(400, 7)), "root": pa.array(roots[i : i + 400]), "_row": pa.array(np.arange(i, i + 400)), "_size": pa.array(sizes[i : i + 400]), "_print": pa.array([p.tobytes() for p in prints[i : i + 400]], pa.binary())}) for i in (0, 400, 800)]
+    got = [tuple(p) for b in near_copies.across(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns))]
+    want = {(i, j) for i in range(1200) for j in range(i + 1, 1200) if roots[i] != roots[j] and 5 * min(sizes[i], sizes[j]) >= 4 * max(sizes[i], sizes[j]) and (prints[i] == prints[j]).sum() >= near_copies.SHARED}
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
 def test_repeated_null_and_empty(spark):
     df = spark.createDataFrame([(2, "a b c d"), (2, "a b c d"), (None, "a b c d"), (None, None)], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in near_copies.one_of_each(df).collect()) == ["2", "None"]

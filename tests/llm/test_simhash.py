@@ -64,6 +64,42 @@ def test_long_list_looks_up_neighbours():
     assert len(list_links(7, members)) < len(members)
 
 
+def test_lists_of_any_length_over_batches_give_all_links(monkeypatch):
+    """Tallies, divided lists and neighbours connect what all pairs connect; lists go on over batches."""
+    import pyarrow as pa
+
+    from merganser.llm import simhash
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 6, np.uint64)
+    prints = np.unique(np.concatenate([base[rng.integers(0, 6, 900)] ^ (np.uint64(1) << rng.integers(0, 64, 900, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 900, np.uint64)), rng.integers(0, 1 << 63, 300, np.uint64)]))
+    want = {(int(a), int(b)) for i, a in enumerate(prints) for b in prints[i + 1 :][np.bitwise_count(prints[i + 1 :] ^ a) <= 3]}
+
+    def connected(pairs):
+        parent = {int(p): int(p) for p in prints}
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        return [root(int(p)) for p in prints]
+
+    rows = []
+    for i, positions in enumerate(simhash.LISTS):
+        mask = np.uint64(sum(0xFF << 8 * p for p in positions))
+        rows += [(i, int((p & mask).view(np.int64)), int(p.view(np.int64))) for p in prints]
+    rows.sort()
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array([r[k] for r in some], t) for k, t in enumerate((pa.int8(), pa.int64(), pa.int64()))], names=["list", "bytes", "print"])
+    for long, size in ((4096, 10_000), (4096, 7), (50, 300), (12, 40)):
+        monkeypatch.setattr(simhash, "LONG", long)
+        got = {tuple(np.array([a, b], np.int64).view(np.uint64).tolist()) for out in simhash.index_links(batch(rows[k : k + size]) for k in range(0, len(rows), size)) for a, b in zip(*(c.to_pylist() for c in out.columns))}
+        assert {tuple(sorted(p)) for p in got} <= want and connected(got) == connected(want)
+
+
 def test_chain_is_one_component(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {r.node: r.root for r in components(df).collect()} == {i: 0 for i in range(1, 41)} | {101: 100}

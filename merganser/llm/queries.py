@@ -11,7 +11,8 @@ from merganser.llm import bpe_automaton, extraction, language, mixing, quality,
 
 #: The folder of public vocabulary files.
 TOKENIZERS = "/opt/tokenizers"
-
+#: Bytes of 50 words of four letters and a blank: passages of more words hold strings of so many bytes.
+PASSAGE = 250
 
 TOP_K_SQL = """
 with v as (
@@ -39,7 +40,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(documents(spark, sf_dir))
+    return suffix_dedup.dedup(documents(spark, sf_dir), passage=PASSAGE)
 
 
 def op2_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

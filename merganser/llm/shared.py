@@ -95,3 +95,14 @@ def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     renamed = right.select(*(F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns))
     on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
     return left.join(renamed, on, how).drop(*(f"_right_{k}" for k in keys))
+
+
+#: Parts that rows of one key are dealt to.
+SALTS = 8
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join where one key may hold a great part of `left`: its rows are dealt to `SALTS` tasks, and `right`, of one row a key, stands once for each. Keys aren't null."""
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    each = right.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return dealt.join(each, [*keys, "_salt"]).drop("_salt")

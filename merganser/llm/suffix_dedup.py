@@ -2,21 +2,23 @@
 
 All starts are judged, on the input as it is. To sort no more suffixes than needed, each start is put under an anchor: the
 place of the smallest hash among the grams of `GRAM` bytes inside its string. Equal strings have equal anchors at
-equal offsets, so starts only ever meet under equal grams. Consecutive starts of one anchor form a block, the bytes of a
-document that their strings cover. About one byte in 170 is an anchor.
-
-1. Every document yields its blocks: gram hash, content hash, place. Grams that occur once leave.
-2. Equal blocks are counted before anything is moved; a block with a twin is covered whole. Grams with one content are done.
-3. Of the other grams, one copy of each content has its bytes fetched. These suffixes, as they stand at the anchor, are range-partitioned
-   by their leading bytes with sampled splitters. Equal leading bytes share a bucket, so nothing is cut at a boundary but between
-   different grams, and each bucket checks that.
+equal offsets, so starts only ever meet under equal grams. Consecutive starts of one anchor form a block, whose content is the bytes of the
+document that their strings cover: those left of the anchor, and the suffix that begins at it. Hashes only bring together and name contents; what is equal is decided by bytes.
+
+1. Every document yields its blocks: gram, name of the content, place. Grams that occur once leave.
+2. The bytes of the blocks that stay are fetched. Equal contents are counted by their bytes, with sums on the way, so a passage that a third of all documents share is a few rows a task;
+   a content that occurs again is covered whole.
+3. Contents of a gram of several are suffixes to compare. They are range-partitioned by their leading bytes with sampled splitters; equal leading bytes share a
+   bucket, so what a boundary parts differs within the leading bytes, and each bucket checks that its suffixes come in order.
 4. A bucket sorts its suffixes by multikey quicksort, eight bytes a step, and the mirrored left sides likewise. Common prefixes of
    neighbours give, for each offset, classes of equal left parts and of equal right parts; starts that agree in both are repeats.
-   These are comparisons of bytes; hashes only bring together.
-5. A gram with more contents than `CROWD` isn't collected in a bucket: its starts are counted by 128-bit hashes of their strings instead.
+5. A gram with more contents than `CROWD` is no bucket: its range is split by the bytes that follow and precede. Offsets are halved; starts of one half agree in more bytes around the anchor
+   if they are equal, and contents are dealt anew by these, until a part is small enough for a bucket, is one content, or is alike throughout.
 6. Ranges go back to all documents that hold the content.
 
-Null text is empty. Texts shorter than `length` bytes keep all. Repeated rows are copies of each other, and so are covered; rows are told apart by
+Several lengths can be asked for at once: anchors are then chosen in strings of the smallest.
+
+Null text is empty. Texts shorter than a length keep all. Repeated rows are copies of each other, and so are covered; rows are told apart by
 id and text, with null ids among them. Removed runs may begin or end inside a character; `dedup_text` leaves such a
 character whole.
 """
@@ -32,13 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merganser.llm.shared import encoded, map_batches, matched, per_batch, staged
+from merganser.llm.shared import encoded, map_batches, matched, per_batch, salted_join, staged
 
 #: Bytes of a repeated string.
 LENGTH = 400
 #: Bytes of the grams among which anchors are chosen.
 GRAM = 64
-#: Contents of a gram beyond which its starts are counted by hash.
+#: Contents beyond which the range of a gram is split.
 CROWD = 20_000
 #: Bytes of text that are hashed at once.
 CHUNK = 1 << 20
@@ -99,15 +101,19 @@ def blocks(data: np.ndarray, rolling: Rolling, length: int, gram: int) -> tuple[
     return first, np.diff(np.append(first, len(anchors))), anchors[first]
 
 
-def batches_of(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
-    """Texts put together into arrays of about `CHUNK` bytes, a long text in several that overlap: (row, offset in the text, begin, end) in each."""
+def batches_of(texts: list[bytes], length: int, most: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int, int]]]]:
+    """Texts put together into arrays of about `CHUNK` bytes, a long text in several that overlap: (row, offset in the text, begin, end, bytes known beyond the end) in each.
+
+    Starts of strings of `length` bytes up to `end` are judged in the array; their strings of `most` bytes may need the bytes beyond.
+    """
     parts, held, size = [], [], 0
     for row, text in enumerate(texts):
         for at in range(0, max(1, len(text) - length + 1), CHUNK):
-            piece = text[at : at + CHUNK + length - 1]
+            piece = text[at : at + CHUNK + most - 1]
             if len(piece) < length:
                 continue
-            held.append((row, at, size, size + len(piece)))
+            judged = min(len(piece), CHUNK + length - 1)
+            held.append((row, at, size, size + judged, len(piece) - judged))
             parts.append(piece)
             size += len(piece)
             if size >= CHUNK:
@@ -117,16 +123,13 @@ def batches_of(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, li
         yield np.frombuffer(b"".join(parts), np.uint8), held
 
 
-BLOCK_FIELDS = "text_hash long, n_bytes long, sha256 string, blocks array<struct<start:long,starts:int,offset:int,gram:long,content:long>>"
-BLOCK_TYPE = pa.struct([("start", pa.int64()), ("starts", pa.int32()), ("offset", pa.int32()), ("gram", pa.int64()), ("content", pa.int64())])
+BLOCK_FIELDS = "text_hash long, n_bytes long, sha256 string, blocks array<struct<start:int,starts:int,offset:int,gram:long,content:long>>"
+BLOCK_TYPE = pa.struct([("start", pa.int32()), ("starts", pa.int32()), ("offset", pa.int32()), ("gram", pa.int64()), ("content", pa.int64())])
 
 
-def text_hash(text: bytes) -> int:
-    return np.uint64(xxhash.xxh64_intdigest(text, 7)).view(np.int64).item()
-
-
-def document_blocks(df: DataFrame, id_col: str, text_col: str, length: int, gram: int) -> DataFrame:
+def document_blocks(df: DataFrame, id_col: str, text_col: str, lengths: list[int], gram: int) -> DataFrame:
     """One row for each row: id, text_hash, n_bytes, sha256 of the text, and its blocks."""
+    length, most = min(lengths), max(lengths)
 
     def make():
         choose, wide = Rolling(1), Rolling(2)
@@ -134,17 +137,17 @@ def document_blocks(df: DataFrame, id_col: str, text_col: str, length: int, gram
         def work(batch: pa.RecordBatch):
             texts = encoded(batch.column(1))
             rows, cols = [], []
-            for data, held in batches_of(texts, length):
+            for data, held in batches_of(texts, length, most):
                 first, n, anchor = blocks(data, choose, length, gram)
                 last = first + n
                 grams = wide(data, gram)
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(wide.codes[data] * wide.up[: len(data)])])
-                for row, at, begin, end in held:
+                for row, at, begin, end, ahead in held:
                     a, b = np.searchsorted(last, begin, "right"), np.searchsorted(first, end - length, "right")
                     f, g, an = np.maximum(first[a:b], begin), np.minimum(last[a:b], end - length + 1), anchor[a:b]
-                    starts, until = g - f, g + length - 1
+                    starts, until = g - f, np.minimum(g + most - 1, end + ahead)
                     content = (sums[until] - sums[f]) * wide.down[f]
-                    content = (content ^ (content >> np.uint64(29))) * BASE + starts.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (an - f).astype(np.uint64)
+                    content = (content ^ (content >> np.uint64(29))) * BASE + starts.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (an - f).astype(np.uint64) + (until - f).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
                     rows.append(np.full(len(f), row))
                     cols.append((f - begin + at, starts, an - f, grams[an].view(np.int64), content.view(np.int64)))
             of = np.concatenate(rows) if rows else np.empty(0, np.int64)
@@ -152,18 +155,21 @@ def document_blocks(df: DataFrame, id_col: str, text_col: str, length: int, gram
             ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))])
             structs = pa.StructArray.from_arrays([pa.array(x).cast(t.type) for x, t in zip(fields, BLOCK_TYPE)], fields=list(BLOCK_TYPE))
             yield pa.RecordBatch.from_pydict({
-                id_col: batch.column(0), "text_hash": pa.array(map(text_hash, texts), pa.int64()), "n_bytes": pa.array(map(len, texts), pa.int64()),
+                id_col: batch.column(0), "text_hash": batch.column(2), "n_bytes": pa.array(map(len, texts), pa.int64()),
                 "sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()), "blocks": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs),
             })
 
         return work
 
-    few = df.select(df[id_col], df[text_col].cast("string").alias("_text"))
+    text = F.col("_text")
+    few = df.select(df[id_col], df[text_col].cast("string").alias("_text")).withColumn("_hash", F.xxhash64(F.coalesce(text, F.lit(""))))
     return map_batches(few, per_batch(make), f"{id_col} {few.dtypes[0][1]}, {BLOCK_FIELDS}")
 
 
 def text_bytes(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    return df.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("_bytes"))
+    """(id, text_hash, _bytes)."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return df.select(id_col, F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("_bytes"))
 
 
 def words8(buffer: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -215,102 +221,125 @@ def bit_lengths(x: np.ndarray) -> np.ndarray:
     return out + (x > 0)
 
 
-def repeated_starts(contents: list[bytes], offset: np.ndarray, starts: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each block of a bucket, the starts (by number within the block) whose strings stand in another block of the bucket as well.
+def repeated_starts(contents: list[tuple[bytes, bytes]], starts: np.ndarray, lengths: list[int], low: np.ndarray, high: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """For each content (left of the anchor, from the anchor on) of a bucket, its starts whose strings stand in another content of the bucket as well, as runs (which length, first, last).
 
-    A start is `d` bytes left of its anchor: its string is the d bytes before and the length - d bytes from it on.
+    A start is `d` bytes left of its anchor: its string is the d bytes before and the length - d bytes from it on. Only offsets from `low` to `high` are judged.
     """
     n = len(contents)
-    sizes = np.fromiter(map(len, contents), np.int64, n)
-    buffer = np.frombuffer(b"".join(contents), np.uint8)
+    offset = np.fromiter((len(a) for a, _ in contents), np.int64, n)
+    sizes = offset + np.fromiter((len(b) for _, b in contents), np.int64, n)
+    buffer = np.frombuffer(b"".join(x for pair in contents for x in pair), np.uint8)
     base = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     anchor = base + offset
     right_order, right_shared = multikey_sort(buffer, anchor, base + sizes)
     mirrored = np.ascontiguousarray(buffer[::-1])
     left_order, left_shared = multikey_sort(mirrored, len(buffer) - anchor, len(buffer) - base)
-    far, near = offset, offset - starts + 1
-    found: list[list[np.ndarray]] = []
-    for d in range(int(near.min()), int(far.max()) + 1):
-        left, right = np.empty(n, np.int64), np.empty(n, np.int64)
-        left[left_order] = np.cumsum(left_shared < d)
-        right[right_order] = np.cumsum(right_shared < length - d)
-        have = np.flatnonzero((near <= d) & (d <= far))
-        key = left[have] * (n + 1) + right[have]
-        by = np.argsort(key, kind="stable")
-        same = np.diff(key[by]) == 0
-        hit = np.concatenate([[False], same]) | np.append(same, False)
-        if hit.any():
-            rows = have[by[hit]]
-            found.append(np.stack([rows, far[rows] - d]))
-    if not found:
-        return [np.empty(0, np.int64)] * n
-    rows, at = np.concatenate(found, axis=1)
-    by = np.lexsort((at, rows))
-    at, cuts = at[by], np.searchsorted(rows[by], np.arange(n + 1))
-    return [at[cuts[i] : cuts[i + 1]] for i in range(n)]
-
-
-def ranges(at: np.ndarray) -> list[dict[str, int]]:
-    """Sorted numbers as runs (first, last)."""
-    if not len(at):
-        return []
-    new = np.flatnonzero(np.diff(at) > 1) + 1
-    return [{"first": int(a), "last": int(b)} for a, b in zip(at[np.concatenate([[0], new])], at[np.append(new, len(at)) - 1])]
-
-
-RANGE_FIELDS = "gram long, content long, found array<struct<first:int,last:int>>"
-
-
-def bucket_repeats(length: int, limit: int = 16 << 20):
-    """For a range partition whose rows (gram, content, offset, starts, lead, bytes) come in order of their leading bytes: repeats within each gram.
-
-    A whole number of grams is compared at a time, up to `limit` bytes unless one gram has more; its size is bounded by `CROWD`.
+    out: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]
+    left, right = np.empty(n, np.int64), np.empty(n, np.int64)
+    for which, length in enumerate(lengths):
+        far, near = np.minimum(offset, high), np.maximum(offset - np.minimum(starts, sizes - length + 1) + 1, low)
+        found: list[np.ndarray] = []
+        for d in range(max(0, int(near.min())), int(far.max()) + 1):
+            have = np.flatnonzero((near <= d) & (d <= far))
+            left[left_order] = np.cumsum(left_shared < d)
+            right[right_order] = np.cumsum(right_shared < length - d)
+            key = left[have] * (n + 1) + right[have]
+            by = np.argsort(key, kind="stable")
+            same = np.diff(key[by]) == 0
+            hit = np.concatenate([[False], same]) | np.append(same, False) if len(have) else np.empty(0, bool)
+            if hit.any():
+                rows = have[by[hit]]
+                found.append(np.stack([rows, offset[rows] - d]))
+        if found:
+            rows, at = np.concatenate(found, axis=1)
+            by = np.lexsort((at, rows))
+            rows, at = rows[by], at[by]
+            new = np.flatnonzero((np.diff(rows) != 0) | (np.diff(at) > 1)) + 1
+            for a, b in zip(np.concatenate([[0], new]).tolist(), np.append(new, len(at)).tolist()):
+                out[rows[a]].append((which, int(at[a]), int(at[b - 1])))
+    return out
+
+
+FOUND = "array<struct<which:int,first:int,last:int>>"
+FOUND_TYPE = pa.list_(pa.struct([("which", pa.int32()), ("first", pa.int32()), ("last", pa.int32())]))
+
+
+def bucket_repeats(lengths: list[int], limit: int = 16 << 20):
+    """For a range partition whose rows (gram, content, starts, low, high, group, left, right) come in order of `group`: repeats within each group, as rows (gram, content, found).
+
+    A whole number of groups is compared at a time, up to `limit` bytes unless one group has more; its size is bounded by `CROWD`.
     """
 
     def run(batches):
         held: list[tuple] = []
 
         def emit(rows):
-            at = repeated_starts([r[5] for r in rows], np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64), length)
-            some = [(r[0], r[1], ranges(a)) for r, a in zip(rows, at) if len(a)]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in some], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))))], names=["gram", "content", "found"])
-
-        size, before = 0, b""
+            if len({r[:2] + r[3:5] for r in rows}) < len(rows):
+                raise ValueError("two contents of one name")
+            starts, low, high = (np.array([r[i] for r in rows], np.int64) for i in (2, 3, 4))
+            found = repeated_starts([r[6:8] for r in rows], starts, lengths, low, high)
+            some = [(r[0], r[1], [dict(zip(("which", "first", "last"), x)) for x in f]) for r, f in zip(rows, found) if f]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in some], t) for i, t in enumerate((pa.int64(), pa.int64(), FOUND_TYPE))], names=["gram", "content", "found"])
+
+        size = 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[4] != held[-1][4]:
-                    if row[4] < held[-1][4]:
+                if held and row[5] != held[-1][5]:
+                    if row[5] < held[-1][5]:
                         raise ValueError("a bucket isn't in order")
                     if size >= limit:
                         yield emit(held)
                         held, size = [], 0
                 held.append(row)
-                size += len(row[5])
+                size += len(row[6]) + len(row[7])
         if held:
             yield emit(held)
 
     return run
 
 
-def crowded_repeats(df: DataFrame, length: int) -> DataFrame:
-    """The same for grams of many contents: starts are counted by two 64-bit hashes of their strings, with a sum on the way; no group is collected."""
+def in_buckets(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = rows.select("gram", "content", "starts", "low", "high", "group", "left", "right")
+    return map_batches(few.repartitionByRange(parts, "group").sortWithinPartitions("group"), bucket_repeats(lengths), f"gram long, content long, found {FOUND}")
 
-    def make():
-        one, two = Rolling(3), Rolling(4)
 
-        def work(batch: pa.RecordBatch):
-            gram, content, _, _, _, data = (batch.column(i).to_pylist() for i in range(6))
-            for g, c, b in zip(gram, content, data):
-                a = np.frombuffer(b, np.uint8)
-                x, y = one(a, length), two(a, length)
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(np.full(len(x), g)), "content": pa.array(np.full(len(x), c)), "at": pa.array(np.arange(len(x), dtype=np.int32)), "x": pa.array(x.view(np.int64)), "y": pa.array(y.view(np.int64))})
+def tail(column: str, n) -> F.Column:
+    """The last n bytes; none if n is 0."""
+    return F.expr(f"substring({column}, greatest(octet_length({column}) - ({n}), 0) + 1, {n})")
 
-        return work
 
-    starts = map_batches(df, per_batch(make), "gram long, content long, at int, x long, y long")
-    twice = starts.groupBy("x", "y").agg(F.count("*").alias("n")).filter("n > 1").select("x", "y")
-    found = starts.join(twice, ["x", "y"], "left_semi")
-    return found.groupBy("gram", "content").agg(F.transform(F.array_sort(F.collect_list("at")), lambda a: F.struct(a.alias("first"), a.alias("last"))).alias("found"))
+def crowded_repeats(rows: DataFrame, which: int, length: int, widest: int, crowd: int) -> list[DataFrame]:
+    """(gram, content, found) for the contents (gram, content, starts, left, right) of crowded grams, for one length.
+
+    A part is a range of offsets low..high and the bytes around the anchor that any two equal starts of such offsets share: `low` before, length - high from it on.
+    """
+    out: list[DataFrame] = []
+    far = "octet_length(left)"
+    near = f"({far} - least(starts, {far} + octet_length(right) - {length} + 1) + 1)"
+    parts = rows.withColumns({"low": F.lit(0), "high": F.lit(widest)})
+    while True:
+        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high").alias("high")))
+        parts = parts.withColumn("half", F.explode(halves)).withColumns({"low": F.col("half.low"), "high": F.col("half.high")}).drop("half").filter("low <= high")
+        parts = parts.filter(f"{near} <= high and {far} >= low")
+        group = F.concat(F.lpad(F.hex("low"), 4, "0").cast("binary"), F.lpad(F.hex("high"), 4, "0").cast("binary"), tail("left", "low"), F.expr(f"substring(right, 1, {length} - high)"))
+        covers = F.expr(f"{near} <= low and {far} >= high")
+        whole = F.when(covers, F.concat(tail("left", "high"), F.expr(f"substring(right, 1, {length} - low)"))).otherwise(F.lit(b""))
+        parts = staged(parts.withColumns({"group": group, "whole": whole}))
+        of = parts.groupBy("group").agg(F.count("*").alias("size"), F.min("whole").alias("a"), F.max("whole").alias("b"))
+        of = staged(of.filter("size > 1").select("group", "size", F.expr("a = b and octet_length(a) > 0").alias("alike")))
+        known = staged(salted_join(parts.drop("whole"), of, ["group"]))
+        first, last = F.greatest(F.lit(0), F.expr(f"{far} - high")), F.expr(f"{far} - greatest(low, {near})")
+        run = F.struct(F.lit(which).alias("which"), first.cast("int").alias("first"), last.cast("int").alias("last"))
+        out.append(known.filter("alike or low = high").select("gram", "content", F.array(run).alias("found")))
+        rest = known.filter("not alike and low < high")
+        bucket = in_buckets(rest.filter(F.col("size") <= crowd), [length])
+        out.append(bucket.withColumn("found", F.transform("found", lambda x: F.struct(F.lit(which).alias("which"), x["first"].alias("first"), x["last"].alias("last")))))
+        parts = rest.filter(F.col("size") > crowd).drop("size", "alike", "group")
+        if parts.isEmpty():
+            return out
 
 
 def covered_runs(found: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -332,70 +361,95 @@ def kept_bytes(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def covered_starts(df: DataFrame, id_col: str, text_col: str, length: int, gram: int, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """(id, text_hash, n_bytes, sha256) of each row; (id, text_hash, found) of those with repeated strings, `found` being runs of starts."""
-    docs = staged(document_blocks(df, id_col, text_col, length, gram))
+def covered_starts(df: DataFrame, id_col: str, text_col: str, lengths: list[int], gram: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """(id, text_hash, n_bytes, sha256) of each row; (id, text_hash, found) of those with repeated strings, `found` being runs of starts for each length."""
+    docs = staged(document_blocks(df, id_col, text_col, lengths, gram))
     every = docs.select(id_col, "text_hash", F.inline("blocks"))
-    counts = every.groupBy("gram", "content").agg(F.count("*").alias("n"), F.min(F.struct(F.col(id_col).isNull().alias("x"), F.col(id_col).alias("id"), "text_hash", "start", "starts", "offset")).alias("one"))
-    per_gram = every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    seen = staged(counts.join(per_gram, "gram", "left_semi").select("gram", "content", "n", "one.*"))
-    several = seen.groupBy("gram").agg(F.count("*").alias("contents")).filter("contents > 1")
-    twins = seen.filter("n > 1").select("gram", "content", F.array(F.struct(F.lit(0).alias("first"), (F.col("starts") - 1).alias("last"))).alias("found"))
-
-    wanted = seen.join(several, "gram").select("id", "text_hash", F.struct("gram", "content", "offset", "starts", "start", "contents").alias("w"))
-    wanted = wanted.groupBy("id", "text_hash").agg(F.collect_list("w").alias("wanted")).withColumnRenamed("id", id_col)
+    again = every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    seen = staged(salted_join(every, again, ["gram"]))
+    wanted = seen.groupBy(id_col, "text_hash").agg(F.collect_set(F.struct("gram", "content", "offset", "starts", "start")).alias("wanted"))
+    most = max(lengths)
 
     def fetch(batches):
+        names = ["gram", "content", "starts", "left", "right"]
         for batch in batches:
             out = []
-            for text, th, wants in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for w in wants if text_hash(text) == th else ():
-                    data = text[w["start"] : w["start"] + w["starts"] + length - 1]
-                    out.append((w["gram"], w["content"], w["offset"], w["starts"], data[w["offset"] : w["offset"] + gram], data, w["contents"]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()))], names=["gram", "content", "offset", "starts", "lead", "bytes", "contents"])
+            for text, wants in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                for w in wants:
+                    at, to = w["start"] + w["offset"], w["start"] + w["starts"] + most - 1
+                    out.append((w["gram"], w["content"], w["starts"], text[w["start"] : at], text[at:to]))
+                    if len(out) >= 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=names)
+                        out = []
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=names)
 
-    fields = "gram long, content long, offset int, starts int, lead binary, bytes binary, contents long"
     texts = text_bytes(df, text_col, id_col)
-    fetched = staged(map_batches(matched(texts, wanted, [id_col]).select("_bytes", "text_hash", "wanted"), fetch, fields).dropDuplicates(["gram", "content"]))
-    few = fetched.filter(F.col("contents") <= crowd).drop("contents")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = few.repartitionByRange(parts, "lead").sortWithinPartitions("lead")
-    partial = map_batches(sorted_, bucket_repeats(length), RANGE_FIELDS)
-    crowded = fetched.filter(F.col("contents") > crowd).drop("contents")
-    if crowded.limit(1).count():
-        partial = partial.unionByName(crowded_repeats(crowded, length))
-    repeated = staged(twins.unionByName(partial))
-    places = every.join(repeated, ["gram", "content"]).select(id_col, "text_hash", F.explode("found").alias("f"), "start")
-    found = places.groupBy(id_col, "text_hash").agg(F.collect_list(F.struct((F.col("start") + F.col("f.first")).alias("first"), (F.col("start") + F.col("f.last")).alias("last"))).alias("found"))
+    fetched = map_batches(matched(texts, wanted, [id_col, "text_hash"]).select("_bytes", "wanted"), fetch, "gram long, content long, starts int, left binary, right binary")
+    contents = staged(fetched.groupBy("gram", "content", "starts", "left", "right").agg(F.count("*").alias("n")))
+    runs = [F.struct(F.lit(i).alias("which"), F.lit(0).alias("first"), F.expr(f"least(starts, octet_length(left) + octet_length(right) - {x} + 1) - 1").cast("int").alias("last")) for i, x in enumerate(lengths)]
+    twins = contents.filter("n > 1").select("gram", "content", F.filter(F.array(*runs), lambda x: x["last"] >= 0).alias("found"))
+    several = staged(contents.groupBy("gram").agg(F.count("*").alias("contents")).filter("contents > 1"))
+    rows = salted_join(contents.drop("n"), several, ["gram"])
+    widest = min(lengths) - gram
+    few = rows.filter(F.col("contents") <= crowd).withColumns({"low": F.lit(0), "high": F.lit(widest), "group": F.expr(f"substring(right, 1, {gram})")})
+    repeated = twins.unionByName(in_buckets(few, lengths))
+    if not several.filter(F.col("contents") > crowd).isEmpty():
+        crowds = staged(rows.filter(F.col("contents") > crowd).drop("contents"))
+        for which, length in enumerate(lengths):
+            for found in crowded_repeats(crowds, which, length, widest, crowd):
+                repeated = repeated.unionByName(found)
+    # A content of several is found in more than one way; its runs go back as one row.
+    named = repeated.groupBy("gram", "content").agg(F.flatten(F.collect_list("found")).alias("found"))
+    places = salted_join(seen.select(id_col, "text_hash", "start", "gram", "content"), staged(named), ["gram", "content"])
+    run = F.transform("found", lambda x: F.struct(x["which"].alias("which"), (F.col("start") + x["first"]).alias("first"), (F.col("start") + x["last"]).alias("last")))
+    found = places.groupBy(id_col, "text_hash").agg(F.array_distinct(F.flatten(F.collect_list(run))).alias("found"))
     return docs.drop("blocks"), found
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """One row for each row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes)."""
-    docs, found = covered_starts(df, id_col, text_col, length, gram, crowd)
+def runs_of(found: list[dict], lengths: list[int]) -> list[list[tuple[int, int]]]:
+    """Covered runs of bytes for each length."""
+    return [covered_runs([(f["first"], f["last"]) for f in found if f["which"] == which], length) for which, length in enumerate(lengths)]
+
+
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int | None = None, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
+    """One row for each row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the remaining bytes).
+
+    With `passage`, also n_passage: the bytes under strings of that many bytes that start elsewhere, too. These are only counted; what is removed goes by `length`.
+    """
+    lengths = [length] if passage is None else [length, passage]
+    docs, found = covered_starts(df, id_col, text_col, lengths, gram, crowd)
+    found = staged(found)
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_passage"] * (passage is not None)
 
     def finish(batches):
         for batch in batches:
             out = []
             for id_, text, of in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                own = text_hash(text)
-                runs = covered_runs([(f["first"], f["last"]) for x in of for f in x["found"] if x["text_hash"] == own], length)
-                out.append((id_, len(text), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept_bytes(text, runs)).hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((batch.schema[0].type, pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                runs, *rest = runs_of(of, lengths)
+                out.append((id_, len(text), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept_bytes(text, runs)).hexdigest(), *(sum(b - a for a, b in r) for r in rest)))
+            types = (batch.schema[0].type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types[: len(names) + 1])], names=[id_col, *names])
 
-    per_id = found.groupBy(id_col).agg(F.collect_list(F.struct("text_hash", "found")).alias("of"))
-    few = matched(text_bytes(df, text_col, id_col), per_id, [id_col])
+    few = matched(text_bytes(df, text_col, id_col), found, [id_col, "text_hash"])
     kind = dict(df.dtypes)[id_col]
-    cut = map_batches(few.select(id_col, "_bytes", "of"), finish, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    whole = matched(docs, per_id.select(id_col), [id_col], "left_anti")
-    return cut.unionByName(whole.select(id_col, "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256")))
+    extra = ", n_passage long" * (passage is not None)
+    cut = map_batches(few.select(id_col, "_bytes", "found"), finish, f"{id_col} {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{extra}")
+    whole = matched(docs, found.select(id_col, "text_hash"), [id_col, "text_hash"], "left_anti")
+    zero = F.lit(0).cast("long")
+    whole = whole.select(id_col, "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), F.col("sha256").alias("kept_sha256"), *([zero.alias("n_passage")] if passage is not None else []))
+    return cut.unionByName(whole)
 
 
 def dedup_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """The rows of `df` with the repeated strings cut out of their texts; a character of which a byte is kept is kept whole. Null text stays null."""
-    _, found = covered_starts(df, id_col, text_col, length, gram, crowd)
-    per_id = found.groupBy(id_col).agg(F.collect_list(F.struct("text_hash", "found")).alias("_found"))
-    rows = matched(df, per_id, [id_col], "left")
+    _, found = covered_starts(df, id_col, text_col, [length], gram, crowd)
+    places = [f"_c{i}" for i in range(len(df.columns))]
+    lower = [c.lower() for c in df.columns]
+    id_, text_ = places[lower.index(id_col.lower())], places[lower.index(text_col.lower())]
+    k = places.index(text_)
+    plain = df.toDF(*places).withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_).cast("string"), F.lit(""))))
+    runs = found.select(F.col(id_col).alias(id_), F.col("text_hash").alias("_hash"), F.col("found").alias("_found"))
+    rows = matched(plain, runs, [id_, "_hash"], "left")
 
     def within(text: bytes, run: tuple[int, int]) -> tuple[int, int]:
         a, b = run
@@ -407,17 +461,15 @@ def dedup_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     def cut(batches):
         for batch in batches:
-            k = batch.schema.get_field_index(text_col)
             texts = []
             for text, of in zip(batch.column(k).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 if text is not None and of:
                     data = text.encode()
-                    own = text_hash(data)
-                    runs = covered_runs([(f["first"], f["last"]) for x in of for f in x["found"] if x["text_hash"] == own], length)
-                    text = kept_bytes(data, [within(data, r) for r in runs]).decode()
+                    text = kept_bytes(data, [within(data, r) for r in runs_of(of, [length])[0]]).decode()
                 texts.append(text)
             columns = batch.columns[:-1]
             columns[k] = pa.array(texts, batch.schema[k].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return map_batches(rows.select(*df.columns, "_found"), cut, df.schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.toDF(*places).schema)
+    return map_batches(rows.select(*places, "_found"), cut, schema).toDF(*df.columns)

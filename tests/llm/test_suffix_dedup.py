@@ -44,6 +44,33 @@ def test_equals_brute_force(spark, crowd):
     assert [got[i] for i in range(len(texts))] == brute(texts, 40)
 
 
+@pytest.mark.parametrize("crowd", [20_000, 3])
+def test_two_lengths_at_once(spark, crowd):
+    texts = corpus(5)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in dedup(df, length=70, passage=40, gram=12, crowd=crowd).collect()}
+    assert [tuple(got[i])[1:5] for i in range(len(texts))] == brute(texts, 70)
+    assert [got[i].n_passage for i in range(len(texts))] == [x[1] for x in brute(texts, 40)]
+    one = {r.doc_id: tuple(r)[1:5] for r in dedup(df, length=40, passage=70, gram=12, crowd=crowd).collect()}
+    assert [one[i] for i in range(len(texts))] == brute(texts, 40)
+
+
+def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
+    from merganser.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 128)
+    docs = [t for t in corpus(7) if t]
+    texts = ["".join(docs[:8]), "".join(docs[4:20]), "".join(docs[15:]), "".join(docs[:8])]
+    data = [t.encode() for t in texts]
+    for lengths in ([40], [70, 40]):
+        for array, held in suffix_dedup.batches_of(data, min(lengths), max(lengths)):
+            for row, at, begin, end, ahead in held:
+                assert array[begin : end + ahead].tobytes() == data[row][at : at + end + ahead - begin]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in dedup(df, length=70, passage=40, gram=12).collect()}
+    assert [tuple(got[i])[1:5] for i in range(len(texts))] == brute(texts, 70)
+
+
 def test_repeated_and_null_ids(spark):
     long = "".join(random.Random(1).choices("abcdefgh", k=100))
     df = spark.createDataFrame([(None, long), (1, long[20:80]), (1, "other"), (None, None)], "doc_id long, text string")

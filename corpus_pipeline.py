@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merganser.llm import bpe_automaton, mixing, near_copies, quality, suffix_dedup
-from merganser.llm.queries import vocabulary
+from merganser.llm.queries import PASSAGE, vocabulary
 from merganser.llm.shared import staged
 
 
@@ -25,8 +25,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes under strings of 400 bytes that stand elsewhere, too, are cut out of the texts; n_chars follows, no document goes."""
-    cut = suffix_dedup.dedup_text(docs)
+    """Bytes under strings of `PASSAGE` bytes that stand elsewhere, too, are cut out of the texts; n_chars follows, no document goes."""
+    cut = suffix_dedup.dedup_text(docs, length=PASSAGE)
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

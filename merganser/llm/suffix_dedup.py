@@ -362,7 +362,7 @@ def kept_bytes(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def covered_starts(df: DataFrame, id_col: str, text_col: str, lengths: list[int], gram: int, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """(id, text_hash, n_bytes, sha256) of each row; (id, text_hash, found) of those with repeated strings, `found` being runs of starts for each length."""
+    """(id, text_hash, n_bytes, sha256) of each row; (id, text_hash, found) of those with repeated strings, `found` being blocks (start, runs of starts from there)."""
     docs = staged(document_blocks(df, id_col, text_col, lengths, gram))
     every = docs.select(id_col, "text_hash", F.inline("blocks"))
     again = every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
@@ -401,14 +401,14 @@ def covered_starts(df: DataFrame, id_col: str, text_col: str, lengths: list[int]
     # A content of several is found in more than one way; its runs go back as one row.
     named = repeated.groupBy("gram", "content").agg(F.flatten(F.collect_list("found")).alias("found"))
     places = salted_join(seen.select(id_col, "text_hash", "start", "gram", "content"), staged(named), ["gram", "content"])
-    run = F.transform("found", lambda x: F.struct(x["which"].alias("which"), (F.col("start") + x["first"]).alias("first"), (F.col("start") + x["last"]).alias("last")))
-    found = places.groupBy(id_col, "text_hash").agg(F.array_distinct(F.flatten(F.collect_list(run))).alias("found"))
+    found = places.groupBy(id_col, "text_hash").agg(F.collect_set(F.struct("start", "found")).alias("found"))
     return docs.drop("blocks"), found
 
 
-def runs_of(found: list[dict], lengths: list[int]) -> list[list[tuple[int, int]]]:
-    """Covered runs of bytes for each length."""
-    return [covered_runs([(f["first"], f["last"]) for f in found if f["which"] == which], length) for which, length in enumerate(lengths)]
+def runs_of(blocks: list[dict], lengths: list[int]) -> list[list[tuple[int, int]]]:
+    """Covered runs of bytes for each length, from the repeated starts of blocks."""
+    every = [(f["which"], b["start"] + f["first"], b["start"] + f["last"]) for b in blocks for f in b["found"]]
+    return [covered_runs([(first, last) for which, first, last in every if which == i], length) for i, length in enumerate(lengths)]
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int | None = None, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:

@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -282,18 +283,22 @@ def bucket_repeats(lengths: list[int], limit: int = 16 << 20):
             some = [(r[0], r[1], [dict(zip(("which", "first", "last"), x)) for x in f]) for r, f in zip(rows, found) if f]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in some], t) for i, t in enumerate((pa.int64(), pa.int64(), FOUND_TYPE))], names=["gram", "content", "found"])
 
-        size = 0
+        size, group = 0, []  # a group of one content has nothing to be compared with
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[5] != held[-1][5]:
-                    if row[5] < held[-1][5]:
+                if group and row[5] != group[-1][5]:
+                    if row[5] < group[-1][5]:
                         raise ValueError("a bucket isn't in order")
+                    if len(group) > 1:
+                        held += group
+                        size += sum(len(r[6]) + len(r[7]) for r in group)
+                    group = []
                     if size >= limit:
                         yield emit(held)
                         held, size = [], 0
-                held.append(row)
-                size += len(row[6]) + len(row[7])
-        if held:
+                group.append(row)
+        held += group
+        if len(held) > 1:
             yield emit(held)
 
     return run
@@ -342,17 +347,6 @@ def crowded_repeats(rows: DataFrame, which: int, length: int, widest: int, crowd
             return out
 
 
-def covered_runs(found: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
-    """Runs of bytes (begin, end) that the strings of the starts first..last cover."""
-    out: list[list[int]] = []
-    for first, last in sorted(found):
-        if out and first <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], last + length)
-        else:
-            out.append([first, last + length])
-    return [(a, b) for a, b in out]
-
-
 def kept_bytes(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     at, out = 0, []
     for a, b in runs:
@@ -371,30 +365,34 @@ def covered_starts(df: DataFrame, id_col: str, text_col: str, lengths: list[int]
     most = max(lengths)
 
     def fetch(batches):
-        names = ["gram", "content", "starts", "left", "right"]
         for batch in batches:
-            out = []
-            for text, wants in zip(*(batch.column(i).to_pylist() for i in range(2))):
-                for w in wants:
-                    at, to = w["start"] + w["offset"], w["start"] + w["starts"] + most - 1
-                    out.append((w["gram"], w["content"], w["starts"], text[w["start"] : at], text[at:to]))
-                    if len(out) >= 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=names)
-                        out = []
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=names)
+            texts, wants = batch.column(0).to_pylist(), batch.column(1)
+            flat, ends = wants.flatten(), np.cumsum([0, *pc.list_value_length(wants).to_pylist()])
+            start, starts, offset = (flat.field(x).to_numpy() for x in ("start", "starts", "offset"))
+            gram_, content = flat.field("gram"), flat.field("content")
+            anchor, until = (start + offset).tolist(), (start + starts + (most - 1)).tolist()
+            of = np.repeat(np.arange(len(texts)), np.diff(ends)).tolist()
+            begin = start.tolist()
+            for k in range(0, len(of), 10_000):
+                span = range(k, min(k + 10_000, len(of)))
+                left, right = ([texts[of[i]][a[i] : b[i]] for i in span] for a, b in ((begin, anchor), (anchor, until)))
+                some = slice(k, span.stop)
+                yield pa.RecordBatch.from_pydict({"gram": gram_[some], "content": content[some], "starts": pa.array(starts[some]), "left": pa.array(left, pa.binary()), "right": pa.array(right, pa.binary())})
 
     texts = text_bytes(df, text_col, id_col)
     fetched = map_batches(matched(texts, wanted, [id_col, "text_hash"]).select("_bytes", "wanted"), fetch, "gram long, content long, starts int, left binary, right binary")
     contents = staged(fetched.groupBy("gram", "content", "starts", "left", "right").agg(F.count("*").alias("n")))
     runs = [F.struct(F.lit(i).alias("which"), F.lit(0).alias("first"), F.expr(f"least(starts, octet_length(left) + octet_length(right) - {x} + 1) - 1").cast("int").alias("last")) for i, x in enumerate(lengths)]
     twins = contents.filter("n > 1").select("gram", "content", F.filter(F.array(*runs), lambda x: x["last"] >= 0).alias("found"))
-    several = staged(contents.groupBy("gram").agg(F.count("*").alias("contents")).filter("contents > 1"))
-    rows = salted_join(contents.drop("n"), several, ["gram"])
     widest = min(lengths) - gram
-    few = rows.filter(F.col("contents") <= crowd).withColumns({"low": F.lit(0), "high": F.lit(widest), "group": F.expr(f"substring(right, 1, {gram})")})
-    repeated = twins.unionByName(in_buckets(few, lengths))
-    if not several.filter(F.col("contents") > crowd).isEmpty():
-        crowds = staged(rows.filter(F.col("contents") > crowd).drop("contents"))
+    crowded = staged(contents.groupBy("gram").agg(F.count("*").alias("contents")).filter(F.col("contents") > crowd).select("gram"))
+    n_crowded = crowded.count()
+    few = contents
+    if n_crowded:
+        few = contents.join(F.broadcast(crowded) if n_crowded <= 10_000 else crowded, "gram", "left_anti")
+    repeated = twins.unionByName(in_buckets(few.withColumns({"low": F.lit(0), "high": F.lit(widest), "group": F.expr(f"substring(right, 1, {gram})")}), lengths))
+    if n_crowded:
+        crowds = staged(salted_join(contents.drop("n"), crowded, ["gram"]))
         for which, length in enumerate(lengths):
             for found in crowded_repeats(crowds, which, length, widest, crowd):
                 repeated = repeated.unionByName(found)
@@ -405,10 +403,31 @@ def covered_starts(df: DataFrame, id_col: str, text_col: str, lengths: list[int]
     return docs.drop("blocks"), found
 
 
-def runs_of(blocks: list[dict], lengths: list[int]) -> list[list[tuple[int, int]]]:
-    """Covered runs of bytes for each length, from the repeated starts of blocks."""
-    every = [(f["which"], b["start"] + f["first"], b["start"] + f["last"]) for b in blocks for f in b["found"]]
-    return [covered_runs([(first, last) for which, first, last in every if which == i], length) for i, length in enumerate(lengths)]
+def runs_of(found: pa.ListArray, lengths: list[int]) -> list[list[list[tuple[int, int]]]]:
+    """Covered runs of bytes of each row, for each length, from the repeated starts of its blocks; a row may be null."""
+    blocks = found.flatten()
+    per_row, per_block = (pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in (found, blocks.field("found")))
+    flat = blocks.field("found").flatten()
+    start = np.repeat(blocks.field("start").to_numpy(zero_copy_only=False), per_block)
+    row = np.repeat(np.repeat(np.arange(len(found)), per_row), per_block)
+    which, first, last = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("which", "first", "last"))
+    out: list[list[list[tuple[int, int]]]] = [[[] for _ in lengths] for _ in range(len(found))]
+    for i, length in enumerate(lengths):
+        mine = which == i
+        of, begin, end = row[mine], (start + first)[mine].astype(np.int64), (start + last)[mine].astype(np.int64) + length
+        by = np.lexsort((begin, of))
+        of, begin, end = of[by], begin[by], end[by]
+        if not len(of):
+            continue
+        # Rows stand apart by more than any text is long, so that one running maximum serves all.
+        apart = of * (int(end.max()) + 1)
+        reach = np.maximum.accumulate(end + apart)
+        new = np.concatenate([[True], (begin + apart)[1:] > reach[:-1]])
+        edges = np.flatnonzero(new)
+        stop = reach[np.append(edges[1:], len(of)) - 1] - apart[edges]
+        for r, a, b in zip(of[edges].tolist(), begin[edges].tolist(), stop.tolist()):
+            out[r][i].append((a, b))
+    return out
 
 
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, passage: int | None = None, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
@@ -424,8 +443,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     def finish(batches):
         for batch in batches:
             out = []
-            for id_, text, of in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                runs, *rest = runs_of(of, lengths)
+            for id_, text, (runs, *rest) in zip(*(batch.column(i).to_pylist() for i in range(2)), runs_of(batch.column(2), lengths)):
                 out.append((id_, len(text), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept_bytes(text, runs)).hexdigest(), *(sum(b - a for a, b in r) for r in rest)))
             types = (batch.schema[0].type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types[: len(names) + 1])], names=[id_col, *names])
@@ -462,10 +480,10 @@ def dedup_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     def cut(batches):
         for batch in batches:
             texts = []
-            for text, of in zip(batch.column(k).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                if text is not None and of:
+            for text, (runs,) in zip(batch.column(k).to_pylist(), runs_of(batch.column(batch.num_columns - 1), [length])):
+                if text is not None and runs:
                     data = text.encode()
-                    text = kept_bytes(data, [within(data, r) for r in runs_of(of, [length])[0]]).decode()
+                    text = kept_bytes(data, [within(data, r) for r in runs]).decode()
                 texts.append(text)
             columns = batch.columns[:-1]
             columns[k] = pa.array(texts, batch.schema[k].type)

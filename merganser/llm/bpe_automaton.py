@@ -124,9 +124,7 @@ class Automaton:
         """The tokens of a word, by one pass over the table: `table[i]` is the last token of the first i bytes."""
         n, heads, arcs = len(word), self.heads, self.arcs
         table = [-1] * (n + 1)
-        if heads.get(word, -1) >= 0:
-            return [heads[word]]
-        for end in range(1, n):
+        for end in range(1, n + 1):  # from the first state every token is an arc
             token = heads.get(word[:end])
             if token is None:
                 break

@@ -26,13 +26,10 @@ class Merger:
     def __init__(self, vocabulary: Vocabulary):
         self.symbol = [vocabulary.ids[bytes([b])] for b in range(256)]
         self.pairs = {(a, b): (rank, c) for rank, (a, b, c) in enumerate(vocabulary.merges)}
-        self.whole = {label for label, i in vocabulary.ids.items()}
 
     def count(self, word: bytes) -> int:
         """Symbols left when no adjacent pair has a rank."""
         n = len(word)
-        if n < 2 or word in self.whole:
-            return min(n, 1)
         pairs, symbols = self.pairs, [self.symbol[b] for b in word]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(p[0], i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (p := pairs.get((symbols[i], symbols[i + 1])))]

@@ -1,10 +1,11 @@
 """Exact top-k by inner product with a pivot table.
 
 Vectors become integers, floor(scale * x). For integers q and v the squared distance is |q|^2 + |v|^2 - 2 <q, v>, so a lower bound of the distance is an
-upper bound of the product. The table holds each vector's distances to many pivots; by the triangle inequality the distance of q and v is
-at least the largest difference of their distances to a pivot. Candidates of a block are evaluated in the order of their bounds, in slices,
-until the k-th best product so far is above every bound left: no later candidate can enter, nor tie. Where pivots tell little, as with vectors without clusters,
-and the first slice leaves more than an eighth of a block standing, these are evaluated in one product.
+upper bound of the product. The table holds each vector's distances to many pivots, chosen far apart. Of two vectors of which only these distances are known, the least distance
+they can have is that of their places among the pivots: the distances fix where a vector lies in the pivots' span, and how far from it, and the bound is |difference within the span|^2 + (difference of
+the distances from it)^2. That is the greatest lower bound there is, never below the largest difference of two distances to one pivot, which tells little where vectors have no clusters.
+
+Candidates of a block are evaluated in the order of their bounds, in slices, until the k-th best product so far is above every bound left: no later candidate can enter, nor tie.
 
 Queries are the rows whose id is divisible by `every`, a stated set; they and all rows are packed into blocks, and each pair of blocks gives
 each query's k best there. The k best of those are the result: what leaves a block is k rows a query, whatever its size.
@@ -21,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from merganser.llm.shared import map_batches, per_batch, staged
+from merganser.llm.shared import SALTS, map_batches, per_batch, staged
 
-#: Pivots: the vectors of the smallest hash of their id.
-PIVOTS = 12
+#: Pivots, and the rows they are chosen among, those of the smallest hash of their id: the pivots set what is saved, never the result.
+PIVOTS, CHOICE = 64, 2_000
 #: Queries and candidates of a block.
-QUERIES, CANDIDATES = 4096, 16384
-#: Queries whose bounds are made at once, and candidates of the first slice.
-SOME, SLICE = 32, 512
+QUERIES, CANDIDATES = 2048, 8192
+#: Queries whose bounds are made at once, and candidates of a slice.
+SOME, SLICE = 64, 64
 
 
 def whole(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -64,50 +65,61 @@ def packed(rows: DataFrame, name: str, size: int, dim: int) -> DataFrame:
     return parts
 
 
-def best_of(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, pivots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+class Pivots:
+    """Pivots, and the frame of their span: the first is its origin."""
+
+    def __init__(self, among: np.ndarray, n: int):
+        chosen: list[int] = []
+        far = (among * among).sum(axis=1)
+        while len(chosen) < min(n, len(among)) and far.max() > 0:
+            chosen.append(int(np.argmax(far)))
+            from_last = ((among - among[chosen[-1]]) ** 2).sum(axis=1)
+            far = np.minimum(far, from_last) if len(chosen) > 1 else from_last
+        self.points = among[chosen] if chosen else np.zeros((1, among.shape[1]))
+        edges = self.points[1:] - self.points[0]
+        u, sizes, _ = np.linalg.svd(edges, full_matrices=False)
+        kept = sizes > 1e-6 * sizes.max(initial=0)
+        self.squares = (edges * edges).sum(axis=1)
+        #: From products with the edges to places in the frame.
+        self.frame = u[:, kept] / sizes[kept]
+
+    def distances(self, v: np.ndarray) -> np.ndarray:
+        """The pivot table of vectors: squared distances."""
+        return np.maximum((v * v).sum(axis=1)[:, None] + (self.points * self.points).sum(axis=1) - 2 * (v @ self.points.T), 0)
+
+    def places(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where vectors lie in the span, and how far from it, by their distances alone."""
+        at = ((table[:, :1] - table[:, 1:] + self.squares) / 2) @ self.frame
+        return at, np.sqrt(np.maximum(table[:, 0] - (at * at).sum(axis=1), 0))
+
+
+def best_of(q_ids: np.ndarray, q: np.ndarray, v_ids: np.ndarray, v: np.ndarray, pivots: Pivots, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Query ids, vector ids and products of each query's k best in the block, and how many products were made."""
     qq, vv = (q * q).sum(axis=1), (v * v).sum(axis=1)
-    pp = (pivots * pivots).sum(axis=1)
-    table = np.sqrt(np.maximum(vv[:, None] + pp - 2 * (v @ pivots.T), 0)).T.astype(np.float32)
-    of_q = np.sqrt(np.maximum(qq[:, None] + pp - 2 * (q @ pivots.T), 0)).astype(np.float32)
-    slack = np.float32(1e-5) * (table.max(initial=1) + of_q.max(initial=1)) + np.float32(1e-3)
+    (q_at, q_off), (v_at, v_off) = (pivots.places(pivots.distances(x)) for x in (q, v))
+    # Rounding of a vanishing distance from the span weighs as the root of the machine precision.
+    slack = 1e-5 * (qq.max(initial=1) + vv.max(initial=1) + (pivots.points**2).sum(axis=1).max())
+    v_part = vv - (v_at * v_at).sum(axis=1)
     out, made = [], 0
     for at in range(0, len(q), SOME):
-        some = of_q[at : at + SOME]
-        low = np.zeros((len(some), len(v)), np.float32)
-        for j in range(len(pivots)):
-            np.maximum(low, np.abs(some[:, j, None] - table[j]), out=low)
-        low = np.maximum(low - slack, 0).astype(np.float64)
-        bound = (qq[at : at + SOME, None] + vv - low * low) / 2
-        for i in range(len(some)):
-            b, own, x = bound[i], q_ids[at + i], q[at + i]
-            b[v_ids == own] = -np.inf
-            best_ids, best, todo = np.empty(0, np.int64), np.empty(0), np.arange(len(v))
-
-            def take(ids, scores):
-                ids, scores = np.concatenate([best_ids, ids]), np.concatenate([best, scores])
+        some = slice(at, at + SOME)
+        bounds = q_at[some] @ v_at.T
+        bounds += ((qq[some] - (q_at[some] ** 2).sum(axis=1))[:, None] + v_part - (q_off[some, None] - v_off) ** 2) / 2 + slack
+        for bound, own, x in zip(bounds, q_ids[some], q[some]):
+            bound[v_ids == own] = -np.inf
+            best_ids, best = np.empty(0, np.int64), np.empty(0)
+            while True:
+                # The slice of the highest bounds that are left; those below the k-th best can't enter.
+                todo = np.flatnonzero(bound >= best[-1]) if len(best) == k else np.flatnonzero(bound > -np.inf)
+                if not len(todo):
+                    break
+                if len(todo) > SLICE:
+                    todo = todo[np.argpartition(-bound[todo], SLICE)[:SLICE]]
+                made += len(todo)
+                bound[todo] = -np.inf
+                ids, scores = np.concatenate([best_ids, v_ids[todo]]), np.concatenate([best, v[todo] @ x])
                 by = np.lexsort((ids, -scores))[:k]
-                return ids[by], scores[by]
-
-            if len(v) > SLICE:
-                todo = np.argpartition(-b, SLICE)[:SLICE]
-            todo = todo[b[todo] > -np.inf]
-            made += len(todo)
-            best_ids, best = take(v_ids[todo], v[todo] @ x)
-            if len(v) > SLICE:
-                b[todo] = -np.inf
-                todo = np.flatnonzero(b >= best[-1]) if len(best) == k else np.flatnonzero(b > -np.inf)
-                if len(todo) * 8 > len(v):  # so many are left that all at once is less work than one slice after another
-                    made += len(todo)
-                    scores = (v @ x)[todo]
-                    near = scores >= best[-1] if len(best) == k else np.ones(len(todo), bool)
-                    best_ids, best = take(v_ids[todo[near]], scores[near])
-                else:
-                    todo = todo[np.argsort(-b[todo], kind="stable")]
-                    while len(todo) and (len(best) < k or b[todo[0]] >= best[-1]):
-                        now, todo = todo[:SLICE], todo[SLICE:]
-                        made += len(now)
-                        best_ids, best = take(v_ids[now], v[now] @ x)
+                best_ids, best = ids[by], scores[by]
             out.append((np.full(len(best), own), best_ids, best))
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), 0
@@ -121,12 +133,16 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     queries = rows.filter(F.col("id") % every == 0).dropDuplicates(["id"])
     q_blocks = staged(packed(queries, "qb", QUERIES, dim))
     v_blocks = packed(rows, "vb", CANDIDATES, dim)
-    chosen = rows.orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(PIVOTS).collect()
-    pivots = np.zeros((len(chosen), dim))
+    chosen = rows.orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(CHOICE).collect()
+    among = np.zeros((len(chosen), dim))
     for i, r in enumerate(chosen):
-        pivots[i, : len(r.v)] = r.v
+        among[i, : len(r.v)] = r.v
+    pivots = Pivots(among, PIVOTS) if len(among) else None
     numbers = [r.qb for r in q_blocks.select("qb").distinct().orderBy("qb").collect()] or [0]
-    pairs = v_blocks.select(F.explode(F.array(*map(F.lit, numbers))).alias("qb"), F.col("ids").alias("v_ids"), F.col("m").alias("v")).join(q_blocks.select("qb", F.col("ids").alias("q_ids"), F.col("m").alias("q")), "qb")
+    # Pairs of blocks are dealt out by both numbers, so that one block of queries is no single task.
+    salts = F.array(*map(F.lit, range(SALTS)))
+    sides = v_blocks.select(F.explode(F.array(*map(F.lit, numbers))).alias("qb"), F.pmod("vb", F.lit(SALTS)).alias("salt"), F.col("ids").alias("v_ids"), F.col("m").alias("v"))
+    pairs = sides.join(q_blocks.select("qb", F.explode(salts).alias("salt"), F.col("ids").alias("q_ids"), F.col("m").alias("q")), ["qb", "salt"])
 
     def make():
         def work(batch: pa.RecordBatch):

@@ -35,10 +35,38 @@ def test_ids_and_counts_equal_the_library(spark, library):
     assert back == {i: t or "" for i, t in enumerate(texts())}
 
 
-def test_every_label_is_its_own_encoding():
+def test_every_label_merges_into_one_symbol():
+    """By the heap and list alone, for all labels: what the automaton's first state takes for granted."""
+    v, m = merger(vocabulary())
+    assert all(m.count(label) == 1 for label in v.ids)
+
+
+def test_gadgets_cut_what_merges_join():
+    """No state has the arc of a token that would have been merged with the last one, and paths equal plain merging."""
     v, machine = automaton(vocabulary())
-    _, m = merger(vocabulary())
-    assert all(machine.encode(label) == [i] and m.count(label) == 1 for label, i in list(v.ids.items())[::50])
+    assert not any(machine.arc(a, b) for a, b, _ in v.merges)
+    rank = {(a, b): (i, c) for i, (a, b, c) in enumerate(v.merges)}
+
+    def plain(word):
+        out = [v.ids[bytes([b])] for b in word]
+        while found := min(((rank[p][0], i) for i, p in enumerate(zip(out, out[1:])) if p in rank), default=None):
+            i = found[1]
+            out[i : i + 2] = [rank[out[i], out[i + 1]][1]]
+        return out
+
+    rng = random.Random(3)
+    labels = [x for x in v.ids if len(x) < 12]
+    words = [b"".join(rng.choices(labels, k=rng.randint(1, 4))) for _ in range(1500)] + [bytes(rng.choices(b"abest in", k=rng.randint(1, 30))) for _ in range(1500)]
+    assert all(machine.encode(w) == plain(w) for w in words)
+
+
+def test_clashing_columns_and_a_long_text(spark):
+    long = "word " * 200_000 + "x" * 5_000
+    rows = [(1, long, 5, "a", [1]), (1, "a b", 6, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, _text string, token_ids array<int>")
+    got = sorted(r.n_tokens for r in count_tokens(df, vocabulary()).collect())
+    assert got == sorted(r.n_tokens for r in encode(df, vocabulary()).collect()) and got[0] == 2 and got[1] > 200_000
+    assert count_tokens(df.limit(0), vocabulary()).count() == 0
 
 
 def test_empty_table_and_nulls(spark):

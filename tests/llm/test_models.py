@@ -47,6 +47,24 @@ def test_top_k_equals_all_products(spark):
     assert top_k(df.limit(0)).count() == 0 and top_k(df.filter("vec_id in (0, 1)")).count() == 1
 
 
+def test_pivots_bound_products_and_eliminate():
+    from merganser.llm.top_k import Pivots, best_of
+
+    rng = np.random.default_rng(4)
+    for dim, n in ((16, 24), (16, 6), (3, 64)):
+        v = np.floor(64 * rng.normal(size=(3000, dim)))
+        pivots = Pivots(v[:500], n)
+        at, off = pivots.places(pivots.distances(v))
+        gap = ((at[:50, None] - at[None]) ** 2).sum(axis=2) + (off[:50, None] - off) ** 2
+        real = ((v[:50, None] - v[None]) ** 2).sum(axis=2)
+        slack = 1e-5 * real.max()
+        assert (gap <= real + slack).all()
+        one = np.sqrt(pivots.distances(v))
+        assert (gap >= np.abs(one[:50, None] - one[None]).max(axis=2) ** 2 - slack).all()
+        made = best_of(np.arange(50), v[:50], np.arange(3000), v, pivots, 20)[3]
+        assert made < 50 * 3000 * (0.1 if n > dim else 0.9)
+
+
 def test_language_by_held_out_accuracy(spark):
     rng = random.Random(2)
     letters = {"xx": "abcde ", "yy": "aefgh "}

@@ -44,43 +44,61 @@ NOT_ARTICLE = frozenset(
     promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert""".split()
 )
 
+#: Last words of names that speak for article, even where another part of the name speaks against it.
+ARTICLE = frozenset("article articles text body content contents story post entry main copy prose".split())
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute: its name, and its value in any of three notations. Values are taken whole, so nothing inside them is a name.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
 PARTS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def excluded(name: str, attributes: str, in_container: bool) -> bool:
+def attributes_of(text: str) -> dict[str, str]:
+    """Attributes by name in lower case; of repeated names the first counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def excluded(name: str, attributes: str, in_container: bool) -> int:
+    """2 if an element is never article, 1 if only part of a name says so and its last word says article, else 0."""
     if name in NEVER:
-        return True
+        return 2
     if name == "header":
-        return not in_container
+        return 0 if in_container else 2
     if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
-        kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "style" and HIDDEN.search(value):
-            return True
-        if kind in ("class", "id", "role") and any(p.lower() in NOT_ARTICLE for p in PARTS.findall(value)):
-            return True
-    return False
+        return 0
+    of = attributes_of(attributes)
+    if "hidden" in of or of.get("aria-hidden", "").lower() == "true" or HIDDEN.search(of.get("style", "")):
+        return 2
+    out = 0
+    for value in (of.get("class"), of.get("id"), of.get("role")):
+        for one in (value or "").split():
+            parts = [p.lower() for p in PARTS.findall(one)]
+            if any(p in NOT_ARTICLE for p in parts):
+                out = max(out, 1 if parts[-1] in ARTICLE else 2)
+    return out
 
 
 class Page:
     """A page as parallel lists: kinds ('word', 'link', 'out' for a whole element that is never article, or a tag), how many words or 1, texts, and the numbers of the containers around."""
 
-    def __init__(self, page: str, forgiven: bool = False):
+    def __init__(self, page: str, forgiven: bool = False, doubtful: bool = True):
         self.kinds: list[str] = []
         self.counts: list[int] = []
         self.texts: list[str] = []
         self.containers: list[tuple[int, ...]] = []
-        stack: list[tuple[str, bool, bool, int]] = []
+        stack: list[tuple[str, int, bool, int]] = []
         out = links = 0
         within: list[int] = []
         at, number, self.unclosed_out = 0, 0, False
+        in_doubt, self.doubted = 0, 0
 
         def add(kind: str, count: int, text: str) -> None:
             if out:  # what is never article stands as one token, where it begins
+                self.doubted += count * (kind in ("word", "link") and out == in_doubt)
                 return
             self.kinds.append(kind)
             self.counts.append(count)
@@ -94,10 +112,11 @@ class Page:
                 add("link" if links else "word", len(text.split()), text)
 
         def close(k: int) -> None:
-            nonlocal out, links
+            nonlocal out, links, in_doubt
             while len(stack) > k:
                 name, was_out, was_link, container = stack.pop()
-                out -= was_out
+                out -= was_out > 0
+                in_doubt -= was_out == 1
                 links -= was_link
                 if container:
                     within.remove(container)
@@ -124,17 +143,19 @@ class Page:
                 add("out", 1, "")
                 found = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
                 at = found.start() if found else len(page)
-                stack.append((name, True, False, 0))
+                stack.append((name, 2, False, 0))
                 out += 1
                 continue
             number += 1
-            is_out = not forgiven and excluded(name, m[3], bool(within)) or forgiven and name in NEVER
+            is_out = 2 * (name in NEVER) if forgiven else excluded(name, m[3], bool(within))
+            is_out *= is_out == 2 or doubtful
             container = number if name in CONTAINERS else 0
             if container:
                 within.append(container)
             add("out" if is_out else name, 1, "")
             stack.append((name, is_out, name == "a", container))
-            out += is_out
+            out += is_out > 0
+            in_doubt += is_out == 1
             links += name == "a"
         text_to(len(page))
         self.unclosed_out = out > 0
@@ -202,10 +223,15 @@ def learned(pages: list[str]) -> dict[str, float]:
 
 
 def main_text(html: str | None, weights: dict[str, float]) -> str:
+    """The text of the region. Elements in doubt are left out unless they hold more words than what is found without them."""
     if not html:
         return ""
     page = Page(html)
-    text = page.text(*page.extended(*page.region(weights)))
+    begin, end = page.extended(*page.region(weights))
+    text = page.text(begin, end)
+    if page.doubted > len(text.split()):
+        page = Page(html, doubtful=False)
+        text = page.text(*page.extended(*page.region(weights)))
     if not text and page.unclosed_out:
         page = Page(html, forgiven=True)
         text = page.text(*page.extended(*page.region(weights)))

@@ -41,36 +41,35 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 class Trees:
-    """Context trees of several languages as tables: `rows` leads from three bytes to a context, `logs[context, byte, language]` is the code length in nats."""
+    """Context trees of several languages as tables: `rows` leads from three bytes to a context, `logs[context, column of the byte, language]` is the code length in nats."""
 
     def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER):
         self.languages = sorted(texts)
         grams = {lang: [self.counted(texts[lang], n + 1) for n in range(order + 1)] for lang in self.languages}
         self.contexts: list[dict[bytes, int]] = [{b"": 0}]
         for n in range(1, order + 1):
-            known = Counter()
-            for lang in self.languages:
-                for g, c in grams[lang][n].items():
-                    known[g[:n]] += c
+            known = {g[:n] for lang in self.languages for g in grams[lang][n]}
             at = sum(map(len, self.contexts))
-            self.contexts.append({g: at + i for i, g in enumerate(sorted(g for g, c in known.items() if c > 1 or n < 2))})
-        total = sum(map(len, self.contexts))
-        self.logs = np.zeros((total, 256, len(self.languages)), np.float32)
+            self.contexts.append({g: at + i for i, g in enumerate(sorted(known))})
+        # A column for each byte that occurs, and one for all others: in any context these have the same probability.
+        seen = sorted({g[0] for lang in self.languages for g in grams[lang][0]})
+        width = len(seen) + 1
+        self.column = np.full(256, width - 1, np.int32)
+        self.column[seen] = np.arange(width - 1)
+        self.logs = np.zeros((sum(map(len, self.contexts)), width, len(self.languages)), np.float32)
         for k, lang in enumerate(self.languages):
-            below = np.full((1, 256), 1 / 256)
+            below, place_below = np.full((1, width), 1 / 256), {b"": 0}
             for n, rows in enumerate(self.contexts):
-                ids = list(rows.values())
-                counts = np.zeros((len(rows), 256))
                 place = {g: i for i, g in enumerate(rows)}
+                counts = np.zeros((len(rows), width), np.float32)
                 for g, c in grams[lang][n].items():
-                    if (i := place.get(g[:n])) is not None:
-                        counts[i, g[n]] = c
-                shorter = below if n < 2 else below[[self.place_below[g[1:]] for g in rows]]
-                seen, kinds = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True)
-                known = seen + kinds
-                p = np.where(counts > 0, counts / np.maximum(known, 1), np.where(known > 0, kinds / np.maximum(known, 1), 1) * shorter)
-                self.logs[ids, :, k] = -np.log(p)
-                below, self.place_below = p, place
+                    counts[place[g[:n]], self.column[g[n]]] = c
+                shorter = below if n < 2 else below[[place_below.get(g[1:], -1) for g in rows]]
+                seen_, kinds = counts.sum(axis=1, keepdims=True, dtype=np.float64), (counts > 0).sum(axis=1, keepdims=True)
+                known_ = seen_ + kinds
+                p = np.where(counts > 0, counts / np.maximum(known_, 1), np.where(known_ > 0, kinds / np.maximum(known_, 1), 1) * shorter)
+                self.logs[list(rows.values()), :, k] = -np.log(p)
+                below, place_below = p, place
         self.order = order
         self.lead()
 
@@ -129,7 +128,7 @@ class Trees:
             begin = max(0, at - self.order)
             some = a[begin : at + CHUNK]
             rows = self.rows(some)[at - begin :]
-            out += self.logs[rows, some[at - begin :]].sum(axis=0, dtype=np.float64)
+            out += self.logs[rows, self.column[some[at - begin :]]].sum(axis=0, dtype=np.float64)
         return out
 
     def predict(self, text: bytes) -> tuple[str, float]:

@@ -1,6 +1,6 @@
 """Toxicity by Levenshtein automata over a learned lexicon, with context windows.
 
-Terms: words that labelled texts of the learning folds hold far more often when toxic, by the log-likelihood ratio. The terms form a
+Terms: words that labelled texts of the learning folds hold far more often when toxic, by the log-likelihood ratio; all that pass. The terms form a
 trie; the Levenshtein automaton of distance 1 (insertion, deletion, substitution, or two neighbours swapped) of all terms at once is
 its product with the trie, made deterministic as words are read: a state is a set of (trie node, edits so far). A word that ends in no term but
 within one edit of one of at least `LONG` letters is a misspelling of it, unless labelled texts that aren't toxic hold that word.
@@ -19,18 +19,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merganser.llm.language import fold
-from merganser.llm.shared import map_batches, per_batch
+from merganser.llm.shared import map_batches, per_batch, staged
 
 #: Labelled documents that are learned from, about.
 SAMPLE = 12_000
-#: Toxic texts that hold a term, at least; log-likelihood ratio, at least.
-LEAST, RATIO = 3, 15.0
-#: Terms, at most: those of the highest ratio.
-TERMS = 2_000
+#: Toxic texts that hold a term, at least; log-likelihood ratio, at least; how much larger its share of toxic texts is, at least.
+LEAST, RATIO, LIFT = 3, 15.0, 4
+#: Letters of a word up to which a task keeps what it found.
+SHORT = 100
 #: Letters of a term whose misspellings count; share of the weight they have; share of the weight of quotations.
 LONG, MISSPELLED, QUOTED = 5, 0.7, 0.3
 #: Words on either side that make the context.
@@ -131,11 +131,12 @@ class Hits(dict):
         self.lexicon = lexicon
 
     def __missing__(self, word: str):
-        found = self.lexicon.find(bare(word)) if len(word) < 100 else None
+        found = self.lexicon.find(bare(word))
         out = (self.lexicon.weights[found[0]] * (MISSPELLED if found[1] else 1.0), found[0]) if found else None
         if len(self) > 500_000:
             self.clear()
-        self[word] = out
+        if len(word) < SHORT:
+            self[word] = out
         return out
 
 
@@ -174,12 +175,11 @@ def fitted(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, steps: int = 40)
         free[:-1] &= w[:-1] > 0
 
 
-def ratio(a: int, b: int, n: int, m: int) -> float:
-    """Log-likelihood ratio of a among n against b among m, 0 if the share isn't higher."""
-    if a * m <= b * n:
-        return 0.0
+def ratio(a: Column, b: Column, n: int, m: int) -> Column:
+    """Log-likelihood ratio of a among n against b among m."""
+    a, b, low = a.cast("double"), b.cast("double"), F.lit(1e-12)
+    ll = lambda k, size, q: k * F.log(F.greatest(q, low)) + (size - k) * F.log(F.greatest(1 - q, low))
     p = (a + b) / (n + m)
-    ll = lambda k, size, q: k * math.log(max(q, 1e-12)) + (size - k) * math.log(max(1 - q, 1e-12))
     return 2 * (ll(a, n, a / n) + ll(b, m, b / m) - ll(a, n, p) - ll(b, m, p))
 
 
@@ -196,11 +196,12 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     labelled = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_label_id")).agg(F.max(label_col).alias("_toxic"))
     total = labelled.count()
     chosen = F.pmod(F.xxhash64(F.lit(11), F.col("_label_id")), F.lit(1_000_000)) < int(1e6 * min(1.0, sample / max(total, 1)))
-    rows = df.join(F.broadcast(labelled.filter(chosen)), df[id_col] == F.col("_label_id")).select("_toxic", df[text_col].cast("string").alias("_text"))
+    few = df.select(df[id_col].alias("_id"), df[text_col].cast("string").alias("_text"))
+    rows = staged(few.join(F.broadcast(labelled.filter(chosen)), F.col("_id") == F.col("_label_id")).select("_toxic", "_text"))
 
     def words(batches):
         for batch in batches:
-            out = [(w, y) for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in {bare(w) for w in (text or "").split() if len(w) < 100}]
+            out = [(w, y) for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for w in {bare(w) for w in (text or "").split()}]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([int(y > 0) for _, y in out], pa.int32())], names=["word", "toxic"])
 
     sizes = {bool(r[0]): r[1] for r in rows.groupBy(F.col("_toxic") > 0).count().collect()}
@@ -208,10 +209,10 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     if not n or not m:
         share = n / (n + m) if n + m else 0.0
         return Model(Lexicon({}), np.array([0, 0, 0, math.log(max(share, 1e-13) / max(1 - share, 1e-13))]))
-    counts = map_batches(rows, words, "word string, toxic int").filter("length(word) > 1").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).cache()
-    more = counts.filter((F.col("a") >= LEAST) & (F.col("a") * m > 4 * F.col("b") * n)).orderBy(F.desc(F.col("a") / (F.col("b") + 1)), "word").limit(20 * TERMS).collect()
-    scored = sorted(((ratio(r.a, r.b, n, m), r.word, r.a, r.b) for r in more), reverse=True)[:TERMS]
-    weights = {w: math.log((a + 0.5) / (n + 1)) - math.log((b + 0.5) / (m + 1)) for g, w, a, b in scored if g >= RATIO}
+    counts = staged(map_batches(rows, words, "word string, toxic int").filter("length(word) > 1").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")))
+    # All terms of enough weight: no more than the words of the sample.
+    terms = counts.filter((F.col("a") >= LEAST) & (F.col("a") * m > LIFT * F.col("b") * n) & (ratio(F.col("a"), F.col("b"), n, m) >= RATIO)).orderBy("word").collect()
+    weights = {r.word: math.log((r.a + 0.5) / (n + 1)) - math.log((r.b + 0.5) / (m + 1)) for r in terms}
     lexicon = Lexicon(weights)
     sent = df.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -222,7 +223,6 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
     innocent = map_batches(counts.filter("b > 0").select("word"), near, "word string")
     lexicon = Lexicon(weights, frozenset(r.word for r in innocent.toLocalIterator()))
-    counts.unpersist()
     sent = df.sparkSession.sparkContext.broadcast(lexicon)
 
     def measured(batches):

@@ -77,6 +77,47 @@ def test_language_by_held_out_accuracy(spark):
     assert identify(none).count() == 0
 
 
+def test_code_lengths_equal_plain_ppm():
+    """Against contexts in dictionaries, byte by byte, unseen contexts and bytes included."""
+    import math
+
+    from merganser.llm.language import Trees
+
+    rng = random.Random(5)
+    texts = {lang: ["".join(rng.choices(letters, k=rng.randint(0, 60))).encode() for _ in range(12)] for lang, letters in (("a", "abcé "), ("b", "abcdxyz "))}
+    trees = Trees(texts, 3)
+
+    def plain(lang, text):
+        seen = Counter(t[i : i + n + 1] for t in texts[lang] for n in range(4) for i in range(len(t) - n))
+        by = {}
+        for g, c in seen.items():
+            by.setdefault(g[:-1], {})[g[-1]] = c
+
+        def p(context, byte):
+            shorter = p(context[1:], byte) if context else 1 / 256
+            if context not in by:
+                return shorter
+            of = by[context]
+            whole = sum(of.values()) + len(of)
+            return of[byte] / whole if byte in of else len(of) / whole * shorter
+
+        return -sum(math.log(p(text[max(0, i - 3) : i], x)) for i, x in enumerate(text))
+
+    for text in [b"", b"a", b"ab", "abé cq".encode(), b"\xff\x00zz", *texts["a"][:3], "".join(rng.choices("abcdé xyzQ", k=300)).encode()]:
+        assert np.allclose(trees.code_lengths(text), [plain("a", text), plain("b", text)], rtol=1e-5, atol=1e-5)
+
+
+def test_long_words_are_looked_up(spark):
+    hits = Hits(Lexicon({"nastyterm": 4.0}))
+    assert hits["!" * 500 + "nastyterm"] and hits["nastyterm" + "?" * 500] and not hits["x" * 5000] and not hits["nastyterm" * 20]
+    rows = [(i, f"{'!' * 150}nastyterm you" if i % 4 == 0 else "all is well with you", None) for i in range(80)] + [(7, "again, a row of the same id", 1), (None, "z" * 300_000, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, toxic int")
+    got = score(df, labels).collect()
+    assert len(got) == 82 and all(r.predicted == int(r.doc_id is not None and r.doc_id % 4 == 0) for r in got)
+    assert score(df.limit(0), labels).count() == 0
+
+
 def test_levenshtein_automaton_equals_distance():
     def near(a, b):
         d = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
@@ -128,3 +169,36 @@ def test_main_text(spark):
     assert main_text(article, learned([article] * 5)) == "A b\nc d e f"
     df = spark.createDataFrame([(1, "u", article, "t"), (1, "u", article, "t"), (None, None, None, None)], "page_id long, url string, html string, text string")
     assert sorted(r.n_chars for r in extract(df).collect()) == [0, 11, 11] and extract(df.limit(0)).count() == 0
+
+
+def test_region_is_the_best_of_all():
+    from merganser.llm.extraction import Page
+
+    rng = random.Random(7)
+    for _ in range(300):
+        page = Page("")
+        page.kinds = rng.choices(["word", "link", "out", "p", "/p", "div", "xyz"], k=rng.randint(0, 14))
+        page.counts = [rng.randint(1, 9) if k in ("word", "link") else 1 for k in page.kinds]
+        weights = {"word": 0.5, "link": 0.1, "out": -1.5, "tag": -0.8, "p": -0.2, "div": -rng.random() * 3}
+        each = [n * weights[k] if k in ("word", "link", "out") else weights.get(k.lstrip("/"), -0.8) for k, n in zip(page.kinds, page.counts)]
+        a, b = page.region(weights)
+        best = max([0.0, *(sum(each[i:j]) for i in range(len(each)) for j in range(i + 1, len(each) + 1))])
+        assert abs(sum(each[a:b]) - best) < 1e-9
+
+
+def test_attributes_are_read_by_name():
+    """What stands inside values, or in other attributes, doesn't hide text; names in part about something else don't, where they hold the page's words."""
+    text = "some words of the article " * 18
+    want = text.strip()
+    for tag in ('title="The hidden city"', "title='a class=nav b'", 'data-hidden="false"', 'data-id="nav"', 'data-role="menu"', 'onclick="hidden=1"', 'class="search-article"', 'class="tags-and-text"', 'data-x="a" data-class="ad"'):
+        assert main_text(f"<article><h1>T</h1><div {tag}>{text}</div><p>tail</p></article>", DEFAULT) == f"T\n{want}\ntail", tag
+        assert main_text(f"<body><h1>T</h1><div {tag}>{text}</div><p>a tail of several words</p></body>", DEFAULT).endswith(f"{want}\na tail of several words"), tag
+    for tag in ("hidden", 'hidden=""', "class='x ad'", "class=nav", 'ID = "sidebar"', 'role="navigation"', 'style="display: none"', 'aria-hidden="true"', 'class="footer-text"', 'class="sidebar-content"'):
+        assert main_text(f"<body><div>{text}</div><div {tag}>menu and more</div><p>{text}</p></body>", DEFAULT) == f"{want}\n{want}", tag
+
+
+def test_pages_of_any_size_and_rows(spark):
+    html = "<article>" + "<p>a paragraph of words</p>" * 20_000 + "</article>"
+    df = spark.createDataFrame([(1, "u", html, 1), (1, "u", html, 2), (2, None, "<p>" + "x" * 300_000, 3)], "page_id long, url string, html string, n_chars int")
+    got = sorted((r.page_id, r.n_chars) for r in extract(df).collect())
+    assert got == [(1, 20_000 * 21 - 1)] * 2 + [(2, 300_000)]

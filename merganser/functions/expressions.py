@@ -12,10 +12,10 @@ STATUS_EXTRA = (206, 303, 304, 400, 409, 410, 429, 502, 503, 504)
 CONTENT_CLASSES = ("html", "json", "xml", "text", "script", "image", "binary", "none", "other")
 BUCKETS = (("empty", 0, 1), ("tiny", 1, 256), ("small", 256, 4096), ("medium", 4096, 65536), ("large", 65536, 1048576), ("huge", 1048576, None))
 EXTENSIONS = {"php": ("php", "phtml", "php5", "asp", "aspx", "jsp"), "markup": ("html", "htm", "xml", "xhtml"), "data": ("json", "csv", "yaml", "yml", "txt"), "archive": ("bak", "old", "zip", "tar", "gz", "sql", "swp")}
-#: Floors of the z channels: (value, relative floor, absolute floor).
+#: Floors of the z channels: (value, relative floor, absolute floor).
 Z_FLOORS = {"length": (0.02, 2.0), "words": (0.02, 1.0), "lines": (0.02, 1.0), "duration": (0.5, 2.0)}
 
-SPARK = {"segments": "filter(split({0}, '[/]'), x -> x <> '')", "both": "size(array_intersect({0}, {1}))", "either": "size(array_union({0}, {1}))", "some": "size({0})", "without": "regexp_replace({0}, '{1}', '')"}
+SPARK = {"segments": "filter(split(translate({0}, chr(92), '/'), '[/]'), x -> x <> '')", "both": "size(array_intersect({0}, {1}))", "either": "size(array_union({0}, {1}))", "some": "size({0})", "without": "regexp_replace({0}, r'{1}', '')", "entropy": "aggregate(array_distinct(filter(split({0}, ''), x -> x <> '')), cast(0 as double), (a, x) -> a - (size(filter(split({0}, ''), y -> y = x)) / length({0})) * log2(size(filter(split({0}, ''), y -> y = x)) / length({0})))"}
 
 
 def clamp(x: str) -> str:
@@ -62,6 +62,11 @@ def path_of(url: str) -> str:
     return f"(case when {p} = '' then '/' else {p} end)"
 
 
+def slashed(x: str) -> str:
+    """With slashes for backslashes: both part segments."""
+    return f"translate({x}, chr(92), '/')"
+
+
 def overlap(a: str, b: str, names: dict = SPARK) -> str:
     x, y = names["segments"].format(a), names["segments"].format(b)
     return f"(case when {names['some'].format(x)} = 0 or {names['some'].format(y)} = 0 then cast(0 as double) else cast({names['both'].format(x, y)} as double) / {names['either'].format(x, y)} end)"
@@ -69,7 +74,7 @@ def overlap(a: str, b: str, names: dict = SPARK) -> str:
 
 def extension(word: str = "word") -> str:
     """The last segment's extension in lower case, if a dot stands after its first character."""
-    return f"lower(regexp_extract({word}, '[^/][^/]*[.]([^./]*)$', 1))"
+    return f"lower(regexp_extract({slashed(word)}, '[^/][^/]*[.]([^./]*)$', 1))"
 
 
 def fraction(text: str, pattern: str, names: dict = SPARK) -> str:
@@ -113,7 +118,7 @@ def time_channels() -> dict[str, str]:
 def word_channels(names: dict = SPARK) -> dict[str, str]:
     ext = extension()
     known = ", ".join(f"'{x}'" for xs in EXTENSIONS.values() for x in xs)
-    out = {"word.log_length": log_scaled("length(word)", 64), "word.depth": clamp("(length(word) - length(replace(word, '/', ''))) / 6.0"), "word.has_extension": flag(f"{ext} <> ''"), "word.digit_fraction": fraction("word", "[0-9]", names), "word.upper_fraction": fraction("word", "[A-Z]", names), "word.punct_fraction": fraction("word", "[^0-9A-Za-z/]", names)}
+    out = {"word.log_length": log_scaled("length(word)", 64), "word.depth": clamp(f"(length(word) - length(replace({slashed('word')}, '/', ''))) / 6.0"), "word.has_extension": flag(f"{ext} <> ''"), "word.digit_fraction": fraction("word", r"\p{Nd}", names), "word.upper_fraction": fraction("word", r"\p{Lu}", names), "word.punct_fraction": fraction(slashed("word"), r"[^\p{L}\p{N}/]", names), "word.entropy": clamp(names["entropy"].format("word") + " / 6.0")}
     for name, members in EXTENSIONS.items():
         out[f"word.ext_{name}"] = flag(f"{ext} in ({', '.join(repr(m) for m in members)})")
     return out | {"word.ext_other": flag(f"{ext} <> '' and {ext} not in ({known})")}
@@ -130,7 +135,7 @@ def raw_channels() -> dict[str, str]:
 
 
 def channel_set(version: str, names: dict = SPARK) -> dict[str, str]:
-    """Channels by name, in order: v1-raw, v3-response (the default) or v4-glomerular; v2-log adds the word channels and length per input character, but for entropy."""
+    """Channels by name, in order: v1-raw, v3-response (the default) or v4-glomerular; v2-log adds the word channels and length per input character."""
     if version == "v1-raw":
         return raw_channels()
     v3 = size_channels() | ratio_channels() | status_channels() | content_channels() | redirect_channels(names) | time_channels()
@@ -170,4 +175,5 @@ def refusal() -> str:
     return "(case " + " ".join(f"when {condition} then '{reason}'" for reason, condition in REFUSALS) + " else '' end)"
 
 
+#: The bands of a score.
 BANDS = "(case when novelty >= 0.8 then 'unseen' when novelty >= 0.5 then 'mostly-new' when novelty >= 0.2 then 'part-new' else 'trace' end)"

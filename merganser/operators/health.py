@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: Status codes that count as misses and as refusals.
 MISSES = (400, 401, 403, 404, 405, 406, 410, 429, 500, 502, 503)
-REFUSALS = (403, 429, 503)
+REFUSALS = (401, 403, 405, 406, 429, 503)
 
 
 def status_counts(responses: DataFrame) -> DataFrame:

@@ -39,22 +39,41 @@ def rate_schedule(ranked: DataFrame, rate: float = 5.0) -> DataFrame:
     return ranked.withColumn("start", F.round((F.row_number().over(Window.orderBy("place")) - 1) / min(rate, 5.0), 6))
 
 
+#: A tag begins with a letter, a slash or an exclamation mark.
+TAG = "<[a-zA-Z/!][^>]*>"
+
+
 def body_features(pages: DataFrame, body: str = "html") -> DataFrame:
-    """Structure of a body, in bytes where it says so: length, tags, share of text, lines, longest line, title, and byte entropy of the first 64 KiB."""
+    """Structure of a body, in bytes: length, tags, shares of tags and of text (white space collapsed), lines, longest line, title, and whether it is binary (a NUL in the first KiB)."""
     b = F.coalesce(F.col(body), F.lit(""))
-    tags = F.regexp_extract_all(b, F.lit("<[^>]*>"), F.lit(0))
-    names = F.transform(tags, lambda t: F.regexp_replace(F.lower(F.regexp_extract(t, "^<([^ \t\r\n]*)", 1)), ">$", ""))
+    tags = F.regexp_extract_all(b, F.lit(TAG), F.lit(0))
+    names = F.transform(tags, lambda t: F.regexp_replace(F.lower(F.regexp_extract(t, "^([^ \t\r\n\f\x0B]*)", 1)), ">+$", ""))
     markup = F.aggregate(tags, F.lit(0), lambda a, t: a + F.octet_length(t))
+    blank = "[ \t\r\n\f\x0B]+"
+    text = F.trim(F.regexp_replace(F.regexp_replace(b, TAG, " "), blank, " "))
     lines = F.split(b, "\n")
     size = F.octet_length(b)
+    share = lambda part: F.round(F.when(size > 0, part / size).otherwise(0.0), 6)
     return pages.select(
         *(c for c in pages.columns if c != body), size.alias("length"), F.size(tags).alias("tag_count"), F.size(F.array_distinct(names)).alias("tag_distinct"),
-        F.round(F.when(size > 0, F.size(tags) / size).otherwise(0.0), 6).alias("tag_ratio"), F.round(F.when(size > 0, (size - markup) / size).otherwise(0.0), 6).alias("text_ratio"),
+        share(markup).alias("tag_ratio"), share(F.octet_length(text)).alias("text_ratio"),
         F.when(size > 0, F.size(lines)).otherwise(0).alias("line_count"), F.aggregate(lines, F.lit(0), lambda a, x: F.greatest(a, F.octet_length(x))).alias("max_line_length"),
-        F.left(F.trim(F.regexp_extract(b, "(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(120)).alias("title"),
+        F.left(F.trim(F.regexp_replace(F.regexp_extract(b, "(?is)<title[^>]*>(.*?)</title>", 1), f"^{blank}|{blank}$", "")), F.lit(120)).alias("title"),
+        F.contains(F.left(b, F.lit(1024)), F.lit("\0")).alias("is_binary"),
     )
 
 
+def scraper_features(rows: DataFrame, scraper: str = "scraper") -> DataFrame:
+    """Features of records that weren't fetched again: only the names of what scrapers found, in order."""
+    return rows.withColumn("scraper_keys", F.array_sort(F.coalesce(F.map_keys(scraper), F.array().cast("array<string>"))))
+
+
+def declared_length(fetched: DataFrame, column: str = "headers") -> DataFrame:
+    """Adds `declared`: the length that a header states, whatever the case of its name; null if there is none or it isn't a whole number."""
+    of = F.get(F.filter(F.map_entries(column), lambda e: F.lower(e["key"]) == "content-length"), F.lit(0))["value"]
+    return fetched.withColumn("declared", of.try_cast("bigint"))
+
+
 def byte_entropy(pages: DataFrame, id_col: str, body: str = "html", most: int = 65536) -> DataFrame:
     """(id, entropy) in bits of the first bytes: a row for each byte value that occurs, summed on the way."""
     raw = F.hex(F.substring(F.encode(F.coalesce(F.col(body), F.lit("")), "UTF-8"), 1, most))

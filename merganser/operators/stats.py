@@ -13,10 +13,15 @@ def with_units(df: DataFrame) -> DataFrame:
     return df.withColumn("duration", F.round(F.col("duration_ms") * 1000).cast("long"))
 
 
+def square(c: str):
+    """A square that neither overflows nor rounds: durations of half a minute, squared in microseconds, pass 2^63 after 10,000 records."""
+    return F.col(c).cast("decimal(19,0)") * F.col(c).cast("decimal(18,0)")
+
+
 def sums() -> list:
     out = [F.count("*").alias("n")]
     for c in FIELDS:
-        out += [F.sum(c).alias(f"s_{c}"), F.sum(F.col(c) * F.col(c)).alias(f"q_{c}"), F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")]
+        out += [F.sum(c).alias(f"s_{c}"), F.sum(square(c)).alias(f"q_{c}"), F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")]
     return out
 
 
@@ -41,7 +46,7 @@ def prefix(df: DataFrame, keys: list[str], chunk: int = 65_536, order: str = "se
     before = totals.select(*keys, "_chunk", *(fold(name)(name).over(of_chunk).alias(f"_b_{name}") for name in names))
     local = {"n": F.count("*").over(inside)}
     for c in FIELDS:
-        local |= {f"s_{c}": F.sum(c).over(inside), f"q_{c}": F.sum(F.col(c) * F.col(c)).over(inside), f"lo_{c}": F.min(c).over(inside), f"hi_{c}": F.max(c).over(inside)}
+        local |= {f"s_{c}": F.sum(c).over(inside), f"q_{c}": F.sum(square(c)).over(inside), f"lo_{c}": F.min(c).over(inside), f"hi_{c}": F.max(c).over(inside)}
     joined = rows.select("*", *(v.alias(f"_l_{k}") for k, v in local.items())).join(before, [*keys, "_chunk"])
     merged = {name: (F.least if name.startswith("lo_") else F.greatest)(F.col(f"_l_{name}"), F.col(f"_b_{name}")) if name[:3] in ("lo_", "hi_") else F.coalesce(f"_l_{name}", F.lit(0)) + F.coalesce(f"_b_{name}", F.lit(0)) for name in names}
     return joined.select(*rows.columns[:-1], *(v.alias(k) for k, v in merged.items()))

@@ -31,6 +31,13 @@ def matched_wiring(degrees: np.ndarray, channels: int, seed: int = 0) -> np.ndar
     return out
 
 
+def matched_table(degrees: DataFrame, channels: int, seed: int = 0) -> DataFrame:
+    """(cell, channel) for cells (cell, degree): each keeps its fan-in, its channels are those of the smallest hashes of seed, cell and channel."""
+    every = F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), lambda c: F.struct(F.xxhash64(F.lit(seed), "cell", c).alias("h"), c.cast("int").alias("channel")))
+    drawn = F.slice(F.array_sort(every), 1, F.least(F.col("degree"), F.lit(channels)).cast("int"))
+    return degrees.select("cell", F.explode(drawn).alias("x")).select("cell", F.col("x.channel").alias("channel"))
+
+
 def sampled_wiring(histogram: dict[int, int], cells: int, channels: int, seed: int = 0) -> np.ndarray:
     """Fan-ins drawn from a histogram (degree: count)."""
     rng = np.random.default_rng(seed)
@@ -51,16 +58,33 @@ def active(cells: int, sparsity: float) -> int:
     return max(1, round(sparsity * cells))
 
 
+#: Vectors whose activations are made at once.
+SOME = 256
+
+
+def winners(q: np.ndarray, wiring: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k winning cells of each vector, in order of their numbers, and their activations. Ties at the last place go to the lower cells."""
+    q = q.astype(np.float64)
+    act = (q * q.shape[1] - q.sum(axis=1, keepdims=True)) @ wiring.T.astype(np.float64)
+    if k >= act.shape[1]:
+        return np.broadcast_to(np.arange(act.shape[1], dtype=np.int32), act.shape), act.astype(np.int64)
+    last = np.partition(act, act.shape[1] - k, axis=1)[:, [act.shape[1] - k]]
+    above, equal = act > last, act == last
+    short = k - above.sum(axis=1, keepdims=True)
+    won = above | equal & (np.cumsum(equal, axis=1) <= short)
+    cells = np.nonzero(won)[1].reshape(len(q), k)
+    return cells.astype(np.int32), np.take_along_axis(act, cells, axis=1).astype(np.int64)
+
+
 def tag(df: DataFrame, wiring: np.ndarray, k: int, keep: list[str]) -> DataFrame:
-    """(keep..., cells, activations): the k winning cells of each vector `q` after its mean is taken off, in one product of whole numbers for each Arrow batch."""
-    w = wiring.astype(np.float64).T
+    """(keep..., cells, activations): the k winning cells of each vector `q` after its mean is taken off, by products of whole numbers, `SOME` vectors at a time."""
 
     def run(batches):
         for pdf in batches:
-            q = np.stack(pdf["q"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, w.shape[0]))
-            act = (q * q.shape[1] - q.sum(axis=1, keepdims=True)) @ w
-            top = np.lexsort((np.broadcast_to(np.arange(act.shape[1]), act.shape), -act), axis=1)[:, :k]
-            yield pdf[keep].assign(cells=list(np.sort(top, axis=1).astype(np.int32)), activations=list(np.take_along_axis(act, np.sort(top, axis=1), axis=1).astype(np.int64)))
+            for at in range(0, len(pdf), SOME):
+                part = pdf.iloc[at : at + SOME]
+                cells, act = winners(np.stack(part["q"].to_numpy()), wiring, k)
+                yield part[keep].assign(cells=list(cells), activations=list(act))
 
     kinds = dict(df.dtypes)
     return df.select(*keep, "q").mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", cells array<int>, activations array<long>")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,10 +12,13 @@ from merganser.operators import evaluation, gates, graph, health, novelty, ranki
 from merganser.plans import reference_sql as sql
 from merganser.sources import responses
 from merganser.sources.baselines import Baselines, Incompatible, updated
+from merganser.sources.staging import fresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 E_, P_ = sql.EVENTS, sql.PAGES
+#: Queries that SQL checks hash into the small number of cells; those whose name ends in `_full` have the engine's.
+SMALL = ranking.SMALL
 
 
 def query(text: str | None = None):
@@ -81,12 +83,12 @@ def ingest_int_coercion(spark, d):
     return e.select("seq", responses.integer("x").alias("n"))
 
 
-@query(f"select seq, host, status, length from ({E_}) where seq < 500")
+@query(f"select seq, host, status, length from ({E_})")
 def ingest_document_results(spark, d):
     """Wrapper documents of all records, one for each range of 500, written and read again (IO3)."""
     from merganser.sources.responses import document_rows
 
-    path = tempfile.mkdtemp() if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir')}/document"
+    path = fresh(spark, "documents")
     rows = events(spark, d).select(F.floor(F.col("seq") / 500).alias("part"), F.to_json(F.struct("seq", "host", "status", "length")).alias("r"))
     documents = rows.groupBy("part").agg(F.concat(F.lit('{"results": ['), F.array_join(F.collect_list("r"), ","), F.lit("]}")).alias("value"))
     documents.write.mode("overwrite").partitionBy("part").text(f"{path}/d")
@@ -177,63 +179,72 @@ def chan_entropy(spark, d):
 # --- sparse hash ----------------------------------------------------------------------------
 
 
-@query(f"select cell, count(*) as fan_in from {sql.wiring_values(ranking.wiring())} group by cell")
+@query(f"select cell, count(*) as fan_in from {sql.wiring_values(ranking.wiring(SMALL))} group by cell")
 def hash_projection_degrees(spark, d):
-    return tags.wiring_table(spark, ranking.wiring()).groupBy("cell").agg(F.count("*").alias("fan_in"))
+    return tags.wiring_table(spark, ranking.wiring(SMALL)).groupBy("cell").agg(F.count("*").alias("fan_in"))
 
 
 @query("select l_suppkey as cell, least(count(distinct l_partkey), 39) as fan_in from lineitem group by 1")
 def hash_random_matched_degrees(spark, d):
-    """The measured fan-in of each cell is kept, its channels drawn anew."""
-    degrees = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.countDistinct("l_partkey").alias("n")).orderBy("l_suppkey").collect()
-    import numpy as np
+    """The measured fan-in of each cell is kept, its channels drawn anew, by the cell's own seed: no cell passes through the driver."""
+    degrees = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("cell")).agg(F.countDistinct("l_partkey").alias("degree"))
+    return tags.matched_table(degrees, 39).groupBy("cell").agg(F.count("*").alias("fan_in"))
 
-    drawn = tags.matched_wiring(np.array([r.n for r in degrees]), 39)
-    return spark.createDataFrame([(r.l_suppkey, int(n)) for r, n in zip(degrees, drawn.sum(axis=1))], "cell long, fan_in long")
 
-
-@query("select 6 as fan_in, 256 as cells")
+@query()
 def hash_degree_sampled(spark, d):
-    w = tags.sampled_wiring({6: 10}, 256, 39)
-    return tags.wiring_table(spark, w).groupBy("cell").agg(F.count("*").cast("int").alias("fan_in")).groupBy("fan_in").agg(F.count("*").cast("int").alias("cells"))
+    """Fan-ins drawn from the histogram of suppliers by nation: a row for each cell."""
+    counts = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("cells")).orderBy("n").collect()
+    w = tags.sampled_wiring({int(r.n): int(r.cells) for r in counts}, ranking.CELLS, 39)
+    return tags.wiring_table(spark, w).groupBy("cell").agg(F.count("*").cast("int").alias("fan_in"))
 
 
 TAGS = f"with {sql.tagged(E_, 'host', True)} "
 
 
-@query(TAGS + "select seq, cell, cast(activation as bigint) as activation from a_act where seq < 2000")
+@query(TAGS + "select seq, cell, cast(activation as bigint) as activation from a_act")
 def hash_activations(spark, d):
-    """The join form, for a slice of the stream: a row for each record and cell."""
-    v = tags.encode(with_stats(spark, d)).filter("seq < 2000")
-    return tags.activations(v, tags.wiring_table(spark, ranking.wiring()), ["seq"])
+    """The join form: a row for each record and cell."""
+    v = tags.encode(with_stats(spark, d))
+    return tags.activations(v, tags.wiring_table(spark, ranking.wiring(SMALL)), ["seq"])
 
 
 @query(TAGS + "select key, seq, cell from a_tag")
 def hash_tag_topk(spark, d):
-    return novelty.touches(ranking.tagged(ranking.keyed(events(spark, d), "host"), True))
+    return host_tags(spark, d).select("key", "seq", F.explode("cells").alias("cell"))
 
 
 @query(TAGS + "select seq, cell, cast(greatest(activation, 0) as bigint) as v from a_tag where activation > 0")
 def hash_tag_valued(spark, d):
-    t = tags.tag(tags.encode(with_stats(spark, d)), ranking.wiring(), tags.active(256, 0.05), ["seq"])
+    t = tags.tag(tags.encode(with_stats(spark, d)), ranking.wiring(), tags.active(SMALL, 0.05), ["seq"])
     return t.select("seq", F.inline(F.arrays_zip("cells", "activations"))).filter("activations > 0").select("seq", F.col("cells").alias("cell"), F.col("activations").alias("v"))
 
 
 @query(TAGS + "select round(1 - count(*) / (count(distinct seq) * 256.0), 6) as sparsity, count(distinct cells) as distinct_tags from (select seq, cell, string_agg(cast(cell as varchar), ',' order by cell) over (partition by seq) as cells from a_tag)".replace("string_agg(cast(cell as varchar), ',' order by cell) over (partition by seq)", "list(cell) over (partition by seq order by cell rows between unbounded preceding and unbounded following)"))
 def hash_sparsity(spark, d):
-    t = ranking.tagged(ranking.keyed(events(spark, d), "host"), True)
+    t = host_tags(spark, d)
     return t.agg(F.round(1 - F.sum(F.size("cells")) / (F.count("*") * 256), 6).alias("sparsity"), F.countDistinct("cells").alias("distinct_tags"))
 
 
 # --- filter ---------------------------------------------------------------------------------
 
 
-def host_tags(spark, d, first=True):
-    return ranking.tagged(ranking.keyed(events(spark, d), "host"), first)
+def host_tags(spark, d, first=True, cells=SMALL):
+    return ranking.tagged(ranking.keyed(events(spark, d), "host"), first, cells)
+
+
+VALUED = TAGS.rstrip() + sql.valued("a") + " "
+BEFORE = "sum(log) over (partition by key, cell order by seq rows between unbounded preceding and 1 preceding)"
 
 
 @query(f"with {sql.live(E_, 'host')} select key, seq, novelty from a_live")
 def filter_live_score(spark, d):
+    return ranking.live(events(spark, d), cells=SMALL)
+
+
+@query(f"with {sql.live(E_, 'host')} select key, seq, novelty from a_live")
+def filter_live_rows(spark, d):
+    """The same from a row for each cell."""
     return novelty.live(host_tags(spark, d))
 
 
@@ -242,37 +253,36 @@ def filter_leave_one_out(spark, d):
     return novelty.leave_one_out(host_tags(spark, d), host_tags(spark, d, False))
 
 
-@query(TAGS + "select key, cell, count(*) as touches, round(pow(0.6, count(*)), 9) as weight from a_tag group by key, cell")
+@query(VALUED + f"select key, cell, count(*) as touches, sum(log)::bigint as log, round({sql.WEIGHT.format('sum(log)')}, 9) as weight from a_val group by key, cell")
 def filter_totals(spark, d):
     return novelty.totals(host_tags(spark, d)).withColumn("weight", F.round("weight", 9))
 
 
-@query(TAGS + "select key, round(sum(1 - w) / 256, 6) as saturation from (select key, cell, pow(0.6, count(*)) as w from a_tag group by key, cell) group by key")
+@query(VALUED + f"select key, round(sum(1 - w) / 256, 6) as saturation from (select key, cell, {sql.WEIGHT.format('sum(log)')} as w from a_val group by key, cell) group by key")
 def filter_saturation(spark, d):
     return novelty.saturation(host_tags(spark, d), 256)
 
 
-@query(TAGS + f", m as (select *, pow(0.6, count(*) over (partition by key, cell order by seq rows between unbounded preceding and 1 preceding)) as w from a_tag) select seq, {sql.CLIP.format('sum(w) / count(*)')} as novelty from m where cell % 2 = 0 group by seq")
+@query(VALUED + f", m as (select *, {BEFORE} as before from a_val) select seq, {sql.CLIP.format('sum(v * ' + sql.WEIGHT.format('before') + ') / sum(v)')} as novelty from m where cell % 2 = 0 group by seq")
 def filter_readout_mask(spark, d):
     """Only every other cell is read."""
-    before = Window.partitionBy("key", "cell").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return novelty.touches(host_tags(spark, d)).withColumn("w", F.pow(F.lit(0.6), F.count("*").over(before))).filter("cell % 2 = 0").groupBy("seq").agg(novelty.held(F.sum("w") / F.count("*")).alias("novelty"))
+    return novelty.live(host_tags(spark, d), read=F.col("cell") % 2 == 0).select("seq", "novelty")
 
 
-@query(TAGS + f", m as (select *, pow(0.6, count(*) over (partition by key, cell order by seq rows between unbounded preceding and 1 preceding)) as w, 1 + cell % 4 as rest from a_tag) select seq, {sql.CLIP.format('sum(w * rest) / sum(rest)')} as novelty from m group by seq")
+@query(VALUED + f", m as (select *, {BEFORE} as before, 1 + cell % 4 as rest from a_val) select seq, {sql.CLIP.format('sum(v * ' + sql.WEIGHT.format('before') + ' * rest) / sum(v * rest)')} as novelty from m group by seq")
 def filter_readout_weighted(spark, d):
     """Cells rest at different weights."""
-    before = Window.partitionBy("key", "cell").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rest = 1 + F.col("cell") % 4
-    return novelty.touches(host_tags(spark, d)).withColumn("w", F.pow(F.lit(0.6), F.count("*").over(before))).groupBy("seq").agg(novelty.held(F.sum(F.col("w") * rest) / F.sum(rest)).alias("novelty"))
+    return novelty.live(host_tags(spark, d), rest=1 + F.col("cell") % 4).select("seq", "novelty")
 
 
 def decay_sql(g: str) -> str:
     """The recurrence over each cell's own touches, record by record."""
-    return TAGS.replace("with ", "with recursive ", 1) + (
-        ", k as (select key, seq, row_number() over (partition by key order by seq) as tick from (select distinct key, seq from a_tag)), t as (select *, row_number() over (partition by key, cell order by tick) as i from a_tag join k using (key, seq)), "
-        f"f as (select key, cell, i, tick, seq, 1.0::double as w from t where i = 1 union all select t.key, t.cell, t.i, t.tick, t.seq, 1 - (1 - f.w * 0.6) * pow(2.0, -({g})) from f join t on t.key = f.key and t.cell = f.cell and t.i = f.i + 1) "
-        f"select key, seq, {sql.CLIP.format('sum(w) / count(*)')} as novelty from f group by key, seq"
+    return VALUED.replace("with ", "with recursive ", 1) + (
+        ", k as (select key, seq, row_number() over (partition by key order by seq) as tick from (select distinct key, seq from a_tag)), "
+        "t as materialized (select *, row_number() over (partition by key, cell order by tick) as i from a_val join k using (key, seq)), "
+        "f as (select key, cell, i, tick, seq, v, log, 1.0::double as w from t where i = 1 union all "
+        f"select t.key, t.cell, t.i, t.tick, t.seq, t.v, t.log, 1 - (1 - f.w * exp(f.log / 1e12)) * pow(2.0, -({g})) from f join t on t.key = f.key and t.cell = f.cell and t.i = f.i + 1) "
+        f"select key, seq, {sql.CLIP.format('sum(v * w) / sum(v)')} as novelty from f group by key, seq"
     )
 
 
@@ -291,7 +301,7 @@ def filter_decay_compounding(spark, d):
 
 def offline_query(how: str, view, text: str, name: str):
     def f(spark, d):
-        return ranking.ranked(ranking.offline(view(spark, d), how)).select("seq", "key", "novelty", "settled")
+        return ranking.ranked(ranking.offline(view(spark, d), how, SMALL)).select("seq", "key", "novelty", "settled")
 
     f.__name__ = name
     QUERIES[name] = f
@@ -305,26 +315,32 @@ offline_query("host", pages, P_, "rank_offline_pages")
 
 @query(f"with {sql.offline(E_, 'shape', 'f')}, {sql.offline(E_, 'host', 'c')}, nf as (select key, count(*) as n from f_off group by key), nc as (select key, count(*) as n from c_off group by key) select f.seq, case when nf.n >= 25 then f.key else c.key end as key, case when nf.n >= 25 then f.novelty else c.novelty end as novelty, nf.n >= 25 or nc.n >= 25 as settled from f_off f join c_off c using (seq) join nf on nf.key = f.key join nc on nc.key = c.key")
 def rank_offline_shape_fallback(spark, d):
-    return ranking.with_fallback(events(spark, d))
+    return ranking.with_fallback(events(spark, d), cells=SMALL)
 
 
 @query(f"with {sql.offline(E_, 'host')} select seq, key, novelty, settled from (select seq, key, novelty, count(*) over (partition by key) >= 25 as settled from o_off) order by settled desc, novelty desc, seq limit 25")
 def rank_top_budget(spark, d):
-    return gates.budget(ranking.ranked(ranking.offline(events(spark, d)))).select("seq", "key", "novelty", "settled")
+    return gates.budget(ranking.ranked(ranking.offline(events(spark, d), cells=SMALL))).select("seq", "key", "novelty", "settled")
 
 
 @query(f"with {sql.live(E_, 'none')} select seq, novelty from a_live")
 def rank_live_none(spark, d):
-    return ranking.live(events(spark, d), "none").select("seq", "novelty")
+    return ranking.live(events(spark, d), "none", SMALL).select("seq", "novelty")
 
 
 OLD, NEW = f"select * from ({E_}) where seq % 2 = 0", f"select * from ({E_}) where seq % 2 = 1"
 
 
-@query(f"with {sql.tagged(OLD, 'host', True, 'a')}, {sql.tagged(NEW, 'host', True, 'b')}, t as (select key, cell, pow(0.6, count(*)) as w from a_tag group by key, cell), s as (select key, seq, {sql.CLIP.format('sum(coalesce(w, 1.0)) / count(*)')} as novelty from b_tag left join t using (key, cell) group by key, seq) select key, seq, novelty from s where novelty >= 0.5")
+WATCH = (
+    f"with {sql.tagged(OLD, 'host', True, 'a')}{sql.valued('a')}, {sql.tagged(NEW, 'host', True, 'b')}{sql.valued('b')}, t as (select key, cell, sum(log) as every from a_val group by key, cell), "
+    f"s as (select key, seq, {sql.CLIP.format('sum(v * ' + sql.WEIGHT.format('every') + ') / sum(v)')} as novelty from b_val left join t using (key, cell) group by key, seq) "
+)
+
+
+@query(WATCH + "select key, seq, novelty from s where novelty >= 0.5")
 def rank_score_only_watch(spark, d):
     e = events(spark, d)
-    return ranking.watch(e.filter("seq % 2 = 0"), e.filter("seq % 2 = 1"))
+    return ranking.watch(e.filter("seq % 2 = 0"), e.filter("seq % 2 = 1"), cells=SMALL)
 
 
 for _how in ("host", "dir", "shape"):
@@ -344,7 +360,28 @@ def rank_partition_summary(spark, d):
 @query(f"with {sql.offline(P_, 'host')} select seq, url, status, length, novelty, round(duration_ms, 3) as duration_ms, key as partition, 'v3-response' as channel_set from o_off join ({P_}) using (seq)")
 def rank_scored_projection(spark, d):
     p = pages(spark, d)
-    return ranking.offline(p).join(p, "seq").select("seq", "url", "status", "length", "novelty", F.round("duration_ms", 3).alias("duration_ms"), F.col("key").alias("partition"), F.lit("v3-response").alias("channel_set"))
+    return ranking.offline(p, cells=SMALL).join(p, "seq").select("seq", "url", "status", "length", "novelty", F.round("duration_ms", 3).alias("duration_ms"), F.col("key").alias("partition"), F.lit("v3-response").alias("channel_set"))
+
+
+@query()
+def filter_live_full(spark, d):
+    """Live scores at the engine's number of cells; tests hold them against a fold record by record."""
+    return ranking.live(events(spark, d))
+
+
+@query()
+def filter_leave_one_out_full(spark, d):
+    return ranking.offline(events(spark, d))
+
+
+@query()
+def rank_live_shape_fallback_full(spark, d):
+    return ranking.live_with_fallback(events(spark, d))
+
+
+@query()
+def rank_top_budget_full(spark, d):
+    return gates.budget(ranking.ranked(ranking.offline(events(spark, d)))).select("seq", "key", "novelty", "settled")
 
 
 # --- gates ----------------------------------------------------------------------------------
@@ -353,7 +390,7 @@ LIVE = f"with {sql.live(E_, 'host')}, s as (select key, seq, novelty from a_live
 
 
 def scored(spark, d):
-    return ranking.live(events(spark, d), "host")
+    return ranking.live(events(spark, d), "host", SMALL)
 
 
 @query(LIVE + f"select seq, novelty, {ex.BANDS} as band from s")
@@ -421,12 +458,12 @@ def health_thin_partitions(spark, d):
     return health.thin_keys(ranking.keyed(pages(spark, d), "host"))
 
 
-@query(f"with r as (select seq, host as key, status in (403, 429, 503) as refused from ({E_})), w as (select *, row_number() over (partition by key order by seq) as place, avg(refused::int) over (partition by key order by seq rows between 24 preceding and current row) as late from r), e as (select key, avg(refused::int) as early from w where place <= 40 group by key) select key, min(seq) as seq from w join e using (key) where place >= 65 and late - early >= 0.2 group by key")
+@query(f"with r as (select seq, host as key, status in (401, 403, 405, 406, 429, 503) as refused from ({E_})), w as (select *, row_number() over (partition by key order by seq) as place, avg(refused::int) over (partition by key order by seq rows between 24 preceding and current row) as late from r), e as (select key, avg(refused::int) as early from w where place <= 40 group by key) select key, min(seq) as seq from w join e using (key) where place >= 65 and late - early >= 0.2 group by key")
 def health_block_watch(spark, d):
     return health.block_watch(ranking.keyed(events(spark, d), "host"), jump=0.2)
 
 
-@query(f"with r as (select host as key, status from ({E_})), p as (select key, status, count(*) as n from r group by 1, 2) select key, round(sum(case when status in (403, 429, 503) then n else 0 end) / sum(n), 6) as refused, arg_min(status, (-n, status)) as status from p group by key having round(sum(case when status in (403, 429, 503) then n else 0 end) / sum(n), 6) >= 0.25")
+@query(f"with r as (select host as key, status from ({E_})), p as (select key, status, count(*) as n from r group by 1, 2) select key, round(sum(case when status in (401, 403, 405, 406, 429, 503) then n else 0 end) / sum(n), 6) as refused, arg_min(status, (-n, status)) as status from p group by key having round(sum(case when status in (401, 403, 405, 406, 429, 503) then n else 0 end) / sum(n), 6) >= 0.25")
 def health_wall(spark, d):
     return health.walls(ranking.keyed(events(spark, d), "host"), 0.25)
 
@@ -480,7 +517,15 @@ def stage2_rate_schedule(spark, d):
     return stage2.rate_schedule(c).withColumn("place", F.col("place").cast("long"))
 
 
-FEATURES = "with b as (select page_id, coalesce(html, '') as html from pages), t as (select *, regexp_extract_all(html, '<[^>]*>') as tags, string_split(html, chr(10)) as ls from b) select page_id, strlen(html) as length, len(tags) as tag_count, len(list_distinct(list_transform(tags, lambda t: regexp_replace(lower(regexp_extract(t, '^<([^ \t\r\n]*)', 1)), '>$', '')))) as tag_distinct, round(case when strlen(html) > 0 then len(tags) / strlen(html) else 0 end, 6) as tag_ratio, round(case when strlen(html) > 0 then (strlen(html) - coalesce(list_sum(list_transform(tags, lambda t: strlen(t))), 0)) / strlen(html) else 0 end, 6) as text_ratio, case when strlen(html) > 0 then len(ls) else 0 end as line_count, list_max(list_transform(ls, lambda t: strlen(t))) as max_line_length, left(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), 120) as title from t"
+FEATURES = (
+    "with b as (select page_id, coalesce(html, '') as html from pages), t as (select *, regexp_extract_all(html, '<[a-zA-Z/!][^>]*>') as tags, string_split(html, chr(10)) as ls from b) "
+    "select page_id, strlen(html) as length, len(tags) as tag_count, "
+    "len(list_distinct(list_transform(tags, lambda t: rtrim(split_part(regexp_replace(lower(t), '\\s', ' ', 'g'), ' ', 1), '>')))) as tag_distinct, "
+    "round(coalesce(list_sum(list_transform(tags, lambda t: strlen(t))) / nullif(strlen(html), 0), 0), 6) as tag_ratio, "
+    "round(coalesce(strlen(trim(regexp_replace(regexp_replace(html, '<[a-zA-Z/!][^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))) / nullif(strlen(html), 0), 0), 6) as text_ratio, "
+    "case when strlen(html) > 0 then len(ls) else 0 end as line_count, list_max(list_transform(ls, lambda t: strlen(t))) as max_line_length, "
+    "left(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' ' || chr(9) || chr(10) || chr(13)), 120) as title, contains(left(html, 1024), chr(0)) as is_binary from t"
+)
 
 
 @query(FEATURES)
@@ -515,7 +560,7 @@ def stage2_uncovered_apexes(spark, d):
 @query(f"with {sql.offline(P_, 'host')}, f as ({FEATURES}), s as (select o.seq, url, novelty from o_off o join ({P_}) using (seq)), l as (select url, arg_max(novelty, seq) as novelty from s group by url), b as (select title from f where title <> '' group by title having count(*) > 1) select page_id, p.url, novelty, title in (select title from b) as shared_title from f join pages p using (page_id) join l on l.url = p.url")
 def stage2_taste_join(spark, d):
     p = pages(spark, d)
-    last = ranking.offline(p).join(p.select("seq", "url"), "seq").groupBy("url").agg(F.max_by("novelty", "seq").alias("novelty"))
+    last = ranking.offline(p, cells=SMALL).join(p.select("seq", "url"), "seq").groupBy("url").agg(F.max_by("novelty", "seq").alias("novelty"))
     f = stage2.body_features(table(spark, d, "pages"))
     shared = stage2.shared_titles(f).select("title", F.lit(True).alias("shared_title"))
     return f.join(last, "url").join(shared, "title", "left").select("page_id", "url", "novelty", F.coalesce("shared_title", F.lit(False)).alias("shared_title"))
@@ -610,7 +655,7 @@ def eval_auc(spark, d):
     return evaluation.auc(labelled(spark, d))
 
 
-@query("with x as (select l_quantity as a, l_extendedprice as b from lineitem where l_orderkey % 10 = 0), r as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0 as rb from x) select round(corr(ra, rb), 6) as rho from r")
+@query("with x as (select l_quantity as a, l_extendedprice as b from lineitem), r as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0 as rb from x) select round(corr(ra, rb), 6) as rho from r")
 def eval_spearman(spark, d):
     return evaluation.spearman(table(spark, d, "lineitem").select(F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b")), "a", "b")
 
@@ -710,14 +755,14 @@ def replay_paging(spark, d):
     return replay.paged(frames(spark, d), 400)
 
 
-@query(TAGS + "select key, seq, cell, round(pow(0.6, count(*) over (partition by key, cell order by seq)), 9) as weight from a_tag")
+@query(VALUED + f"select key, seq, cell, round({sql.WEIGHT.format('sum(log) over (partition by key, cell order by seq)')}, 9) as weight from a_val")
 def replay_frames(spark, d):
     """Weights of the active cells after each record."""
     w = Window.partitionBy("key", "cell").orderBy("seq")
-    return novelty.touches(host_tags(spark, d)).withColumn("weight", F.round(F.pow(F.lit(0.6), F.count("*").over(w)), 9))
+    return novelty.touches(host_tags(spark, d)).select("key", "seq", "cell", F.round(novelty.weight(F.sum("log").over(w)), 9).alias("weight"))
 
 
-@query(TAGS + ", w as (select key, cell, round(pow(0.6, count(*)) * 255)::int as b from a_tag group by 1, 2), g as (select key, c.range as cell, coalesce(b, 255) as b from (select distinct key from w) k cross join range(256) c left join w using (key, cell)) ".replace("left join w using (key, cell)", "left join w on w.key = k.key and w.cell = c.range").replace("select key, c.range", "select k.key, c.range") + "select key, base64(unhex(string_agg(lpad(hex(b), 2, '0'), '' order by cell))) as weights from g group by key")
+@query(VALUED + f", w as (select key, cell, round({sql.WEIGHT.format('sum(log)')} * 255)::int as b from a_val group by 1, 2)," + " g as (select key, c.range as cell, coalesce(b, 255) as b from (select distinct key from w) k cross join range(256) c left join w using (key, cell)) ".replace("left join w using (key, cell)", "left join w on w.key = k.key and w.cell = c.range").replace("select key, c.range", "select k.key, c.range") + "select key, base64(unhex(string_agg(lpad(hex(b), 2, '0'), '' order by cell))) as weights from g group by key")
 def replay_quantised_weights(spark, d):
     return replay.quantised(novelty.totals(host_tags(spark, d)), 256)
 
@@ -733,10 +778,7 @@ SETTINGS = {"channel_set": "v3-response", "projection": "random", "seed": 0, "ce
 
 
 def store(spark, d) -> Baselines:
-    from uuid import uuid4
-
-    folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp()
-    b = Baselines(spark, f"{folder}/baselines-{uuid4().hex}")
+    b = Baselines(spark, fresh(spark, "baselines"))
     b.save("week", novelty.totals(host_tags(spark, d)), SETTINGS, 1000.0)
     return b
 
@@ -756,7 +798,7 @@ def store_compat_refusals(spark, d):
     return spark.createDataFrame([("week", outcome)], "name string, outcome string")
 
 
-@query(TAGS + "select count(distinct key) as keys, 2 * count(*) as touches, 2 as version, 1000.0::double as created, 2000.0::double as updated from a_tag")
+@query(VALUED + "select count(distinct key) as keys, 2 * count(*) as touches, 2 as version, 1000.0::double as created, 2000.0::double as updated from a_val")
 def store_upsert_created(spark, d):
     b = store(spark, d)
     old = b.load("week", SETTINGS)
@@ -769,22 +811,20 @@ def store_upsert_created(spark, d):
 
 def streamed(spark, d, tags_: DataFrame, size: int = 5000) -> DataFrame:
     """Scores of all tags, streamed in order: a file, and so a micro-batch, for each range of `size` numbers that has records."""
-    from uuid import uuid4
-
     from merganser.streaming.live import live_scores
 
-    folder = (spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp()).rstrip("/") + f"/stream-{uuid4().hex}"
+    folder = fresh(spark, "stream")
     tags_.write.parquet(f"{folder}/tags")
     made, part = spark.read.schema(tags_.schema).parquet(f"{folder}/tags"), F.floor(F.col("seq") / size)
     spark.createDataFrame([], tags_.schema).coalesce(1).write.parquet(f"{folder}/in")
     for r in made.select(part.alias("i")).distinct().orderBy("i").collect():
         made.filter(part == r.i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     source = spark.readStream.schema(tags_.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{folder}/in")
-    q = live_scores(source, 256).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start()
+    q = live_scores(source, SMALL).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/at").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema("key string, seq long, novelty double, late boolean").parquet(f"{folder}/out")
 
 
-@query(f"with {sql.live(E_, 'host')} select key, seq, novelty from a_live where seq < 10000")
+@query(f"with {sql.live(E_, 'host')} select key, seq, novelty from a_live")
 def stream_live_equals_batch(spark, d):
-    return streamed(spark, d, host_tags(spark, d).select("key", "seq", "cells")).select("key", "seq", "novelty")
+    return streamed(spark, d, host_tags(spark, d)).select("key", "seq", "novelty")

@@ -8,7 +8,7 @@ from merganser.functions.expressions import channel_set, key
 from merganser.operators import ranking, tags
 from merganser.operators.stats import FIELDS
 
-DUCK = {"segments": "list_filter(string_split({0}, '/'), lambda s: s <> '')", "both": "len(list_intersect({0}, {1}))", "either": "len(list_distinct(list_concat({0}, {1})))", "some": "len({0})", "without": "regexp_replace({0}, '{1}', '', 'g')"}
+DUCK = {"segments": "list_filter(string_split(translate({0}, chr(92), '/'), '/'), lambda s: s <> '')", "both": "len(list_intersect({0}, {1}))", "either": "len(list_distinct(list_concat({0}, {1})))", "some": "len({0})", "without": "regexp_replace({0}, '{1}', '', 'g')", "entropy": "coalesce(list_sum(list_transform(list_distinct(string_split({0}, '')), lambda x: -(len(list_filter(string_split({0}, ''), lambda y: y = x)) / length({0})::double) * log2(len(list_filter(string_split({0}, ''), lambda y: y = x)) / length({0})::double))), 0)"}
 
 EVENTS = """select event_id as seq, 'http://'||host||'/'||word as url, host, word, status, length, words, lines, content_type, redirect_location, duration_ms from (
   select event_id, 'h'||cast(user_id as varchar)||'.example.com' as host, 'k'||cast(k as varchar) as word,
@@ -61,18 +61,25 @@ def tagged(view: str, how: str, first: bool, p: str = "a", cells: int = ranking.
 
 
 CLIP = "round(least(greatest({0}, 0.0), 1.0), 6)"
+#: What a sum of logarithms, in units of 1e-12, leaves of a weight.
+WEIGHT = "exp(least(coalesce({0}, 0), 0)::double / 1e12)"
+
+
+def valued(p: str) -> str:
+    """The CTE {p}_val: (key, seq, cell, v, log) of cells that are driven, log being the logarithm of 1 - 0.4 v / (largest v of the tag) in units of 1e-12."""
+    return f", {p}_val as materialized (select key, seq, cell, v, cast(round(ln(1 - 0.4::double * v / max(v) over (partition by key, seq)) * 1e12) as bigint) as log from (select key, seq, cell, activation::double as v from {p}_tag where activation > 0))"
 
 
 def live(view: str, how: str, p: str = "a", cells: int = ranking.SMALL) -> str:
     """CTEs that end in {p}_live: (key, seq, novelty)."""
-    w = "pow(0.6, count(*) over (partition by key, cell order by seq rows between unbounded preceding and 1 preceding))"
-    return tagged(view, how, True, p, cells) + f", {p}_live as (select key, seq, {CLIP.format('sum(w) / count(*)')} as novelty from (select key, seq, {w} as w from {p}_tag) group by key, seq)"
+    before = "sum(log) over (partition by key, cell order by seq rows between unbounded preceding and 1 preceding)"
+    return tagged(view, how, True, p, cells) + valued(p) + f", {p}_w as (select *, {before} as before from {p}_val), {p}_live as (select key, seq, {CLIP.format('sum(v * ' + WEIGHT.format('before') + ') / sum(v)')} as novelty from {p}_w group by key, seq)"
 
 
 def offline(view: str, how: str, p: str = "o") -> str:
     """CTEs that end in {p}_off: (key, seq, novelty), leaving one out."""
     a, b = f"{p}1", f"{p}2"
-    return tagged(view, how, True, a) + ", " + tagged(view, how, False, b) + (
-        f", {p}_tot as (select key, cell, count(*) as t from {a}_tag group by key, cell), "
-        f"{p}_off as (select key, seq, {CLIP.format('sum(pow(0.6, greatest(coalesce(t, 0) - 1, 0))) / count(*)')} as novelty from {b}_tag left join {p}_tot using (key, cell) group by key, seq)"
+    return tagged(view, how, True, a) + valued(a) + ", " + tagged(view, how, False, b) + valued(b) + (
+        f", {p}_tot as (select key, cell, sum(log) as every from {a}_val group by key, cell), "
+        f"{p}_off as (select key, seq, {CLIP.format('sum(v * ' + WEIGHT.format('every - log') + ') / sum(v)')} as novelty from {b}_val left join {p}_tot using (key, cell) group by key, seq)"
     )

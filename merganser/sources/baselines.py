@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from merganser.operators.novelty import weight
+
 SETTINGS = ("channel_set", "projection", "seed", "cells", "time_base", "sparsity", "rate")
 
 
@@ -40,7 +42,7 @@ class Baselines:
         return [r.name for r in v.select("name").distinct().orderBy("name").collect()] if v is not None else []
 
     def save(self, name: str, state: DataFrame, settings: dict, now: float) -> None:
-        """`state` is (key, cell, touches, weight). The time of creation stays that of the first version."""
+        """`state` is (key, cell, touches, log, weight). The time of creation stays that of the first version."""
         try:
             old = self._latest(name)
             version, created = old.version + 1, old.created
@@ -66,7 +68,7 @@ class Baselines:
         return state.agg(F.countDistinct("key").alias("keys"), F.sum("touches").alias("touches")).withColumns({"version": F.lit(row.version), "created": F.lit(row.created), "updated": F.lit(row.updated)})
 
 
-def updated(old: DataFrame, new: DataFrame, rate: float = 0.4) -> DataFrame:
-    """States added up: touches of equal key and cell are summed."""
-    both = old.select("key", "cell", "touches").unionByName(new.select("key", "cell", "touches"))
-    return both.groupBy("key", "cell").agg(F.sum("touches").alias("touches")).withColumn("weight", F.pow(F.lit(1 - rate), "touches"))
+def updated(old: DataFrame, new: DataFrame) -> DataFrame:
+    """States added up: touches and logarithms of equal key and cell are summed."""
+    both = old.select("key", "cell", "touches", "log").unionByName(new.select("key", "cell", "touches", "log"))
+    return both.groupBy("key", "cell").agg(F.sum("touches").alias("touches"), F.sum("log").alias("log")).withColumn("weight", weight(F.col("log")))

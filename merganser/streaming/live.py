@@ -10,33 +10,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from merganser.operators.novelty import RATE
+from merganser.operators.novelty import RATE, UNIT, score_rows
 
 
 def scorer(cells: int, rate: float = RATE):
-    """A function for `applyInPandasWithState`: the state of a key is the touches of each cell and the last record's number.
+    """A function for `applyInPandasWithState`: the state of a key is the sum of logarithms of each cell and the last record's number.
 
     Rows of a micro-batch are taken in order of `seq`; a record that comes after a later one is scored as it comes and flagged late.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        touches, last = (np.frombuffer(state.get[0], np.int32).copy(), state.get[1]) if state.exists else (np.zeros(cells, np.int32), -1)
-        rows = pd.concat(list(batches)).sort_values("seq")
+        logs, last = (np.frombuffer(state.get[0], np.int64).copy(), state.get[1]) if state.exists else (np.zeros(cells, np.int64), -1)
+        rows = pd.concat([b[["seq", "cells", "activations"]] for b in batches]).sort_values("seq")
         out = []
-        for seq, won in zip(rows["seq"], rows["cells"]):
-            won = np.asarray(won, np.int64)
-            out.append((key[0], seq, round(float(np.mean((1 - rate) ** touches[won])) if len(won) else 0.0, 6), bool(seq < last)))
-            touches[won] += 1
+        for seq, won, act in zip(rows["seq"], rows["cells"], rows["activations"]):
+            won, v = np.asarray(won, np.int64), np.maximum(np.asarray(act, np.float64), 0)
+            out.append((key[0], seq, float(score_rows(v, logs[won])), bool(seq < last)))
+            logs[won] += np.rint(np.log(1 - rate * v / max(v.max(initial=0), 1)) * UNIT).astype(np.int64)
             last = max(last, int(seq))
-        state.update((touches.tobytes(), last))
+        state.update((logs.tobytes(), last))
         yield pd.DataFrame(out, columns=["key", "seq", "novelty", "late"])
 
     return run
 
 
 def live_scores(tags: DataFrame, cells: int, rate: float = RATE) -> DataFrame:
-    """(key, seq, novelty, late) for a stream of tags (key, seq, cells)."""
-    return tags.groupBy("key").applyInPandasWithState(scorer(cells, rate), "key string, seq long, novelty double, late boolean", "touches binary, last long", "append", GroupStateTimeout.NoTimeout)
+    """(key, seq, novelty, late) for a stream of tags (key, seq, cells, activations)."""
+    return tags.groupBy("key").applyInPandasWithState(scorer(cells, rate), "key string, seq long, novelty double, late boolean", "logs binary, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def follow(spark, path: str, schema: str = "value string") -> DataFrame:

@@ -18,6 +18,8 @@ connect is passed over; a pair only leaves its list once its tally is high enoug
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -36,8 +38,8 @@ BYTES, SHARED = 64, 16
 LISTS = 80
 #: Shingles whose bits are added up at once, and members of a list that are compared at once.
 BLOCK, SOME = 1 << 12, 512
-#: Pairs of one text that a task gets, about.
-HOT = 1_000
+#: Pairs of one fingerprint that a task gets, about, and pairs whose texts are compared together.
+HOT, TOGETHER = 1_000, 5_000
 _RNG = np.random.default_rng(5)
 POWERS = _RNG.integers(0, 1 << 63, WORDS, np.uint64) | np.uint64(1)
 SEEDS = _RNG.integers(0, 1 << 63, BYTES // 16, np.uint64)
@@ -117,18 +119,25 @@ def alike(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
 
 
-def verified(batches):
-    """Pairs whose texts are similar enough."""
-    for batch in batches:
-        kept, known = [], (None, None)
-        for x, y in zip(encoded(batch.column(2)), encoded(batch.column(3))):
-            if x != known[0]:
-                known = x, shingles(x)
-            x, y = known[1], shingles(y)
+def verified(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Pairs whose texts are similar enough. Pairs are dealt to tasks by blocks of both their rows, so that a text goes along once for each block it has pairs with, not for each pair."""
+    pairs = staged(pairs)
+    blocks = max(1, math.ceil(math.sqrt(pairs.count() / TOGETHER)))
+    block = lambda column: F.pmod(F.xxhash64(column), F.lit(blocks))
+    dealt = pairs.withColumns({"of_a": block("a"), "of_b": block("b")})
+    needed = dealt.select(F.col("of_a").alias("for_a"), F.col("of_b").alias("for_b"), F.explode(F.array("a", "b")).alias("_row")).distinct()
+    texts = needed.join(entries.select("_row", "_text"), "_row")
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        of = {row: shingles(text) for row, text in zip(right["_row"].to_pylist(), encoded(right["_text"].combine_chunks()))}
+        kept = []
+        for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist()):
+            x, y = of[a], of[b]
             both = len(np.intersect1d(x, y, assume_unique=True))
             kept.append(UNDER * both >= OVER * (len(x) + len(y) - both))
-        kept = pa.array(kept, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
+        return left.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return staged(dealt.groupBy("of_a", "of_b").cogroup(texts.groupBy("for_a", "for_b")).applyInArrow(work, "a long, b long"))
 
 
 def with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
@@ -144,8 +153,7 @@ def with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
 def similar(pairs: DataFrame, entries: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of entries, those of enough similarity."""
     sized = with_both(pairs, entries, "_size").filter(f"{UNDER} * least(_a, _b) >= {OVER} * greatest(_a, _b)").select("a", "b")
-    close = staged(map_batches(with_both(sized, entries, "_print"), alike, "a long, b long"))
-    return staged(map_batches(with_both(close, entries, "_text"), verified, "a long, b long"))
+    return verified(map_batches(with_both(sized, entries, "_print"), alike, "a long, b long"), entries)
 
 
 def across(batches):
@@ -153,7 +161,7 @@ def across(batches):
 
     def pairs(held):
         root, row, size = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
-        prints = np.concatenate([h[4] for h in held])
+        prints, number = np.concatenate([h[4] for h in held]), int(held[0][0][0]) >> 24
         for at in range(0, len(row), SOME):
             for to in range(at, len(row), SOME):
                 i, j = np.nonzero(root[at : at + SOME, None] != root[None, to : to + SOME])
@@ -162,7 +170,10 @@ def across(batches):
                 i, j = i[like], j[like]
                 for k in range(0, len(i), 1 << 16):
                     x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                    near = (prints[x] == prints[y]).sum(axis=1) >= SHARED
+                    same = prints[x] == prints[y]
+                    near = same.sum(axis=1) >= SHARED
+                    # A pair that meets in several lists is given by the first.
+                    near[near] = same[near][:, CHOSEN].all(axis=2).argmax(axis=1) == number
                     if near.any():
                         a, b = row[x[near]], row[y[near]]
                         yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
@@ -193,8 +204,8 @@ def links(entries: DataFrame) -> DataFrame:
     grouped = members.join(roots, members["_row"] == roots.node, "left").select("key", "_row", F.coalesce("root", "_row").alias("root"))
     mixed_lists = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi and n > 2").select("key")
     rest = grouped.join(mixed_lists, "key").join(entries.select("_row", "_size", "_print"), "_row").select("key", "root", "_row", "_size", "_print")
-    second = map_batches(rest.repartition("key").sortWithinPartitions("key"), across, "a long, b long").distinct()
-    return found.union(similar(second.join(first, ["a", "b"], "left_anti"), entries))
+    second = map_batches(rest.repartition("key").sortWithinPartitions("key"), across, "a long, b long")
+    return found.union(verified(second.join(first, ["a", "b"], "left_anti"), entries))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -216,7 +216,7 @@ def hash_tag_topk(spark, d):
 
 @query(TAGS + "select seq, cell, cast(greatest(activation, 0) as bigint) as v from a_tag where activation > 0")
 def hash_tag_valued(spark, d):
-    t = tags.tag(tags.encode(with_stats(spark, d)), ranking.wiring(), tags.active(SMALL, 0.05), ["seq"])
+    t = tags.tag(tags.encode(with_stats(spark, d)), ranking.wiring(SMALL), tags.active(SMALL, 0.05), ["seq"])
     return t.select("seq", F.inline(F.arrays_zip("cells", "activations"))).filter("activations > 0").select("seq", F.col("cells").alias("cell"), F.col("activations").alias("v"))
 
 

@@ -13,7 +13,7 @@ itself: no number of shared bytes is certain. 16 of 64 are missed by one pair in
 that was measured.
 
 Members of a list are first compared with its smallest; then, in lists that still hold several groups, all across groups are, in blocks in memory, so no pair that would
-connect is passed over; a pair only leaves its list once its tally is high enough.
+connect is passed over; a pair only leaves its list once its tally is high enough and its SimHashes of 1,024 bits over the shingles themselves are verified to differ in few bits.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ WORDS = 5
 OVER, UNDER = 4, 5
 #: Bytes of a fingerprint (half over words, half over pairs of words), and those that candidates share at least.
 BYTES, SHARED = 64, 16
+#: Bytes of the SimHash over shingles that goes along, and the bits of it that pairs across groups may differ in: at a similarity of 0.8 they differ in 156, with a deviation of 12.
+MORE, DIFFER = 128, 205
 #: Lists of the index: choices of three positions, half of them in each half of the fingerprint.
 LISTS = 80
 #: Shingles whose bits are added up at once, and members of a list that are compared at once.
@@ -43,6 +45,7 @@ HOT, TOGETHER = 1_000, 5_000
 _RNG = np.random.default_rng(5)
 POWERS = _RNG.integers(0, 1 << 63, WORDS, np.uint64) | np.uint64(1)
 SEEDS = _RNG.integers(0, 1 << 63, BYTES // 16, np.uint64)
+MORE_SEEDS = np.random.default_rng(6).integers(0, 1 << 63, MORE // 8, np.uint64)
 CHOSEN = np.array([np.sort(_RNG.choice(BYTES // 2, 3, replace=False)) + (i % 2) * (BYTES // 2) for i in range(LISTS)])
 
 
@@ -69,17 +72,18 @@ def shingles(text: bytes) -> np.ndarray:
     return grams(hashed_words(text), WORDS)
 
 
-def majority(features: np.ndarray) -> np.ndarray:
+def majority(features: np.ndarray, seeds: np.ndarray = SEEDS) -> np.ndarray:
     """The SimHash of a set of hashes: bits that are set in over half of them, for each seed."""
-    ones = np.zeros(64 * len(SEEDS), np.int64)
+    ones = np.zeros(64 * len(seeds), np.int64)
     for at in range(0, len(features), BLOCK):
-        digests = mixed(features[at : at + BLOCK, None] ^ SEEDS)
+        digests = mixed(features[at : at + BLOCK, None] ^ seeds)
         ones += np.unpackbits(digests.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)
     return np.packbits(2 * ones > len(features))
 
 
 def fingerprint(of: np.ndarray) -> np.ndarray:
-    return np.concatenate([majority(grams(of, 1)), majority(grams(of, 2))])
+    """The positional bytes that are indexed, and the SimHash over shingles."""
+    return np.concatenate([majority(grams(of, 1)), majority(grams(of, 2)), majority(grams(of, WORDS), MORE_SEEDS)])
 
 
 def list_keys(prints: np.ndarray) -> np.ndarray:
@@ -102,7 +106,7 @@ def sketched(batches, text_at: int):
 
 
 def as_bytes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BYTES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BYTES + MORE)
 
 
 def listed(batches):
@@ -115,7 +119,7 @@ def listed(batches):
 def alike(batches):
     """Pairs that share enough positional bytes."""
     for batch in batches:
-        kept = pa.array((as_bytes(batch.column(2)) == as_bytes(batch.column(3))).sum(axis=1) >= SHARED)
+        kept = pa.array((as_bytes(batch.column(2))[:, :BYTES] == as_bytes(batch.column(3))[:, :BYTES]).sum(axis=1) >= SHARED)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
 
 
@@ -170,8 +174,9 @@ def across(batches):
                 i, j = i[like], j[like]
                 for k in range(0, len(i), 1 << 16):
                     x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                    same = prints[x] == prints[y]
+                    same = prints[x, :BYTES] == prints[y, :BYTES]
                     near = same.sum(axis=1) >= SHARED
+                    near[near] = np.bitwise_count(prints[x[near], BYTES:] ^ prints[y[near], BYTES:]).sum(axis=1, dtype=np.int64) <= DIFFER
                     # A pair that meets in several lists is given by the first.
                     near[near] = same[near][:, CHOSEN].all(axis=2).argmax(axis=1) == number
                     if near.any():

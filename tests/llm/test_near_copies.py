@@ -69,10 +69,12 @@ def test_pairs_across_groups_of_a_list():
     number = 7
     prints = np.where(rng.random((1200, near_copies.BYTES)) < 0.3, base, rng.integers(0, 256, (1200, near_copies.BYTES), np.uint8)).astype(np.uint8)
     prints[:, near_copies.CHOSEN[number]] = base[near_copies.CHOSEN[number]]
+    far = rng.random(1200) < 0.3
+    whole = np.concatenate([prints, np.where(far[:, None], 255, 0).astype(np.uint8).repeat(near_copies.MORE, axis=1)], axis=1)
     roots, sizes = rng.integers(0, 3, 1200), rng.integers(80, 120, 1200)
-    batches = [pa.RecordBatch.from_pydict({"key": pa.array(np.full(400, number << 24)), "root": pa.array(roots[i : i + 400]), "_row": pa.array(np.arange(i, i + 400)), "_size": pa.array(sizes[i : i + 400]), "_print": pa.array([p.tobytes() for p in prints[i : i + 400]], pa.binary())}) for i in (0, 400, 800)]
+    batches = [pa.RecordBatch.from_pydict({"key": pa.array(np.full(400, number << 24)), "root": pa.array(roots[i : i + 400]), "_row": pa.array(np.arange(i, i + 400)), "_size": pa.array(sizes[i : i + 400]), "_print": pa.array([p.tobytes() for p in whole[i : i + 400]], pa.binary())}) for i in (0, 400, 800)]
     got = [tuple(p) for b in near_copies.across(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns))]
-    want = {(i, j) for i in range(1200) for j in range(i + 1, 1200) if roots[i] != roots[j] and 5 * min(sizes[i], sizes[j]) >= 4 * max(sizes[i], sizes[j]) and (prints[i] == prints[j]).sum() >= near_copies.SHARED and not any((prints[i] == prints[j])[p].all() for p in near_copies.CHOSEN[:number])}
+    want = {(i, j) for i in range(1200) for j in range(i + 1, 1200) if roots[i] != roots[j] and far[i] == far[j] and 5 * min(sizes[i], sizes[j]) >= 4 * max(sizes[i], sizes[j]) and (prints[i] == prints[j]).sum() >= near_copies.SHARED and not any((prints[i] == prints[j])[p].all() for p in near_copies.CHOSEN[:number])}
     assert want and len(got) == len(set(got)) and set(got) == want
 
 

@@ -6,14 +6,15 @@ included) are copies of each other. Texts of equal sets are one entry.
 Fingerprints are SimHashes of 64 bytes: half of them over the distinct words of a text, half over its distinct pairs of neighbouring words. Single words and pairs
 change less under an edit than shingles of five words do, so near copies share many of these bytes at their
 positions, and other texts few. The inverted index lists each fingerprint under `LISTS` choices of three positions with the bytes there;
-shared positional bytes are tallied per pair, pairs that share fewer than `SHARED` go, and the rest are verified by true Jaccard over both texts.
+shared positional bytes are tallied per pair, pairs that share fewer than `SHARED` go, as do pairs whose SimHashes of 1,024 bits over the shingles differ in more
+than `DIFFER`, and the rest are verified by true Jaccard over both texts, unless pairs verified in the same task connect them already.
 
 At a similarity of 0.8 an edit touches one word in 45, and a byte stays as it was with a probability of 0.45 to 0.65, each for
 itself: no number of shared bytes is certain. 16 of 64 are missed by one pair in 10,000, and meeting in no list by one in 500. The README gives the recall
 that was measured.
 
 Members of a list are first compared with its smallest; then, in lists that still hold several groups, all across groups are, in blocks in memory, so no pair that would
-connect is passed over; a pair only leaves its list once its tally is high enough and its SimHashes of 1,024 bits over the shingles themselves are verified to differ in few bits.
+connect is passed over; such a pair only leaves its list if its fingerprints are near.
 """
 
 from __future__ import annotations
@@ -34,14 +35,14 @@ WORDS = 5
 OVER, UNDER = 4, 5
 #: Bytes of a fingerprint (half over words, half over pairs of words), and those that candidates share at least.
 BYTES, SHARED = 64, 16
-#: Bytes of the SimHash over shingles that goes along, and the bits of it that pairs across groups may differ in: at a similarity of 0.8 they differ in 156, with a deviation of 12.
+#: Bytes of the SimHash over shingles that goes along, and the bits of it that pairs may differ in: at a similarity of 0.8 they differ in 156, with a deviation of 12.
 MORE, DIFFER = 128, 205
 #: Lists of the index: choices of three positions, half of them in each half of the fingerprint.
 LISTS = 80
 #: Shingles whose bits are added up at once, and members of a list that are compared at once.
 BLOCK, SOME = 1 << 12, 512
-#: Pairs of one fingerprint that a task gets, about, and pairs whose texts are compared together.
-HOT, TOGETHER = 1_000, 5_000
+#: Pairs whose texts are compared together, about, and pairs whose fingerprints are compared at once.
+TOGETHER, SLICE = 5_000, 1 << 16
 _RNG = np.random.default_rng(5)
 POWERS = _RNG.integers(0, 1 << 63, WORDS, np.uint64) | np.uint64(1)
 SEEDS = _RNG.integers(0, 1 << 63, BYTES // 16, np.uint64)
@@ -105,7 +106,7 @@ def sketched(batches, text_at: int):
         yield [*batch.columns, pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary())]
 
 
-def as_bytes(column: pa.Array) -> np.ndarray:
+def as_bytes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BYTES + MORE)
 
 
@@ -116,48 +117,60 @@ def listed(batches):
         yield pa.RecordBatch.from_pydict({"key": pa.array(list_keys(as_bytes(batch.column(1))).ravel()), "_row": pa.array(np.repeat(rows, LISTS))})
 
 
-def alike(batches):
-    """Pairs that share enough positional bytes."""
-    for batch in batches:
-        kept = pa.array((as_bytes(batch.column(2))[:, :BYTES] == as_bytes(batch.column(3))[:, :BYTES]).sum(axis=1) >= SHARED)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], names=["a", "b"])
+def near(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray) -> np.ndarray:
+    """By pair of fingerprints: whether sizes allow the similarity, enough positional bytes are shared, and few enough bits over shingles differ."""
+    kept = UNDER * np.minimum(size_x, size_y) >= OVER * np.maximum(size_x, size_y)
+    kept[kept] = (x[kept, :BYTES] == y[kept, :BYTES]).sum(axis=1) >= SHARED
+    kept[kept] = np.bitwise_count(x[kept, BYTES:] ^ y[kept, BYTES:]).sum(axis=1, dtype=np.int64) <= DIFFER
+    return kept
+
+
+def linked(a: list[int], b: list[int], similar) -> np.ndarray:
+    """Flags the pairs that are similar, enough of them to connect all that similar pairs connect: pairs whose ends are connected already aren't compared."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    kept = np.zeros(len(a), bool)
+    for i, (x, y) in enumerate(zip(a, b)):
+        if (p := top(x)) != (q := top(y)) and similar(x, y):
+            up[p] = q
+            kept[i] = True
+    return kept
 
 
 def verified(pairs: DataFrame, entries: DataFrame) -> DataFrame:
-    """Pairs whose texts are similar enough. Pairs are dealt to tasks by blocks of both their rows, so that a text goes along once for each block it has pairs with, not for each pair."""
+    """Of the pairs (a, b) of entries, those that are near by their fingerprints and whose texts are similar enough, as many as connect all such pairs.
+
+    Pairs are dealt to tasks by blocks of both their rows, so that an entry goes along once for each block it has pairs with, not for each pair.
+    """
     pairs = staged(pairs)
     blocks = max(1, math.ceil(math.sqrt(pairs.count() / TOGETHER)))
     block = lambda column: F.pmod(F.xxhash64(column), F.lit(blocks))
     dealt = pairs.withColumns({"of_a": block("a"), "of_b": block("b")})
     needed = dealt.select(F.col("of_a").alias("for_a"), F.col("of_b").alias("for_b"), F.explode(F.array("a", "b")).alias("_row")).distinct()
-    texts = needed.join(entries.select("_row", "_text"), "_row")
+    with_texts = needed.join(entries.select("_row", "_size", "_print", "_text"), "_row")
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        of = {row: shingles(text) for row, text in zip(right["_row"].to_pylist(), encoded(right["_text"].combine_chunks()))}
-        kept = []
-        for a, b in zip(left["a"].to_pylist(), left["b"].to_pylist()):
-            x, y = of[a], of[b]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            kept.append(UNDER * both >= OVER * (len(x) + len(y) - both))
-        return left.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    return staged(dealt.groupBy("of_a", "of_b").cogroup(texts.groupBy("for_a", "for_b")).applyInArrow(work, "a long, b long"))
-
+        rows, size, prints = right["_row"].to_numpy(), right["_size"].to_numpy(), as_bytes(right["_print"])
+        order = np.argsort(rows)
+        i, j = (order[np.searchsorted(rows, left[k].to_numpy(), sorter=order)] for k in "ab")
+        at = np.concatenate([np.flatnonzero(near(prints[i[k : k + SLICE]], prints[j[k : k + SLICE]], size[i[k : k + SLICE]], size[j[k : k + SLICE]])) + k for k in range(0, len(i), SLICE)])
+        i, j = i[at].tolist(), j[at].tolist()
+        compared = sorted({*i, *j})
+        of = {row: shingles(text) for row, text in zip(compared, encoded(right["_text"].take(pa.array(compared, pa.int64())).combine_chunks()))}
 
-def with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
-    """(a, b, and `column` of both). A text of many pairs is dealt out to several tasks: its pairs are salted, its row stands once for each salt."""
-    salts = staged(pairs.groupBy("a").agg(F.ceil(F.count("*") / HOT).cast("int").alias("_salts")))
-    one, other = (of.select(F.col("_row").alias(k), F.col(column).alias(f"_{k}")) for k in "ab")
-    salted = one.join(salts, "a").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-    hot = F.broadcast(salts.filter("_salts > 1")) if salts.filter("_salts > 1").count() <= 10_000 else salts.filter("_salts > 1")
-    dealt = pairs.join(hot, "a", "left").withColumn("_salt", F.pmod(F.xxhash64("b"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
-    return dealt.join(other, "b").join(salted, ["a", "_salt"]).select("a", "b", "_a", "_b")
+        def similar(x: int, y: int) -> bool:
+            both = len(np.intersect1d(of[x], of[y], assume_unique=True))
+            return UNDER * both >= OVER * (len(of[x]) + len(of[y]) - both)
 
+        return left.select(["a", "b"]).take(pa.array(at[linked(i, j, similar)], pa.int64()))
 
-def similar(pairs: DataFrame, entries: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of entries, those of enough similarity."""
-    sized = with_both(pairs, entries, "_size").filter(f"{UNDER} * least(_a, _b) >= {OVER} * greatest(_a, _b)").select("a", "b")
-    return verified(map_batches(with_both(sized, entries, "_print"), alike, "a long, b long"), entries)
+    return staged(dealt.groupBy("of_a", "of_b").cogroup(with_texts.groupBy("for_a", "for_b")).applyInArrow(work, "a long, b long"))
 
 
 def across(batches):
@@ -170,17 +183,16 @@ def across(batches):
             for to in range(at, len(row), SOME):
                 i, j = np.nonzero(root[at : at + SOME, None] != root[None, to : to + SOME])
                 i, j = i + at, j + to
-                like = (row[i] < row[j] if at == to else np.ones(len(i), bool)) & (UNDER * np.minimum(size[i], size[j]) >= OVER * np.maximum(size[i], size[j]))
-                i, j = i[like], j[like]
-                for k in range(0, len(i), 1 << 16):
-                    x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                    same = prints[x, :BYTES] == prints[y, :BYTES]
-                    near = same.sum(axis=1) >= SHARED
-                    near[near] = np.bitwise_count(prints[x[near], BYTES:] ^ prints[y[near], BYTES:]).sum(axis=1, dtype=np.int64) <= DIFFER
+                if at == to:
+                    i, j = i[row[i] < row[j]], j[row[i] < row[j]]
+                for k in range(0, len(i), SLICE):
+                    x, y = i[k : k + SLICE], j[k : k + SLICE]
+                    kept = near(prints[x], prints[y], size[x], size[y])
+                    x, y = x[kept], y[kept]
                     # A pair that meets in several lists is given by the first.
-                    near[near] = same[near][:, CHOSEN].all(axis=2).argmax(axis=1) == number
-                    if near.any():
-                        a, b = row[x[near]], row[y[near]]
+                    first = (prints[x, :BYTES] == prints[y, :BYTES])[:, CHOSEN].all(axis=2).argmax(axis=1) == number
+                    if first.any():
+                        a, b = row[x[first]], row[y[first]]
                         yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
     held: list[tuple] = []
@@ -204,7 +216,7 @@ def links(entries: DataFrame) -> DataFrame:
     several = every.groupBy("key").agg(F.min("_row").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = staged(every.join(several, "key"))
     first = staged(members.filter("_row != least").select(F.col("least").alias("a"), F.col("_row").alias("b")).distinct())
-    found = similar(first, entries)
+    found = verified(first, entries)
     roots = components(found)
     grouped = members.join(roots, members["_row"] == roots.node, "left").select("key", "_row", F.coalesce("root", "_row").alias("root"))
     mixed_lists = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi and n > 2").select("key")

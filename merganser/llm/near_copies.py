@@ -6,7 +6,7 @@ included) are copies of each other. Texts of equal sets are one entry.
 Fingerprints are SimHashes of 64 bytes: half of them over the distinct words of a text, half over its distinct pairs of neighbouring words. Single words and pairs
 change less under an edit than shingles of five words do, so near copies share many of these bytes at their
 positions, and other texts few. The inverted index lists each fingerprint under `LISTS` choices of three positions with the bytes there;
-shared positional bytes are tallied per pair, pairs that share fewer than `SHARED` go, as do pairs whose SimHashes of 1,024 bits over the shingles differ in more
+shared positional bytes are tallied per pair, pairs that share fewer than `SHARED` go, as do pairs whose SimHashes of 2,048 bits over the shingles differ in more
 than `DIFFER`, and the rest are verified by true Jaccard over both texts, unless pairs verified in the same task connect them already.
 
 At a similarity of 0.8 an edit touches one word in 45, and a byte stays as it was with a probability of 0.45 to 0.65, each for
@@ -35,8 +35,8 @@ WORDS = 5
 OVER, UNDER = 4, 5
 #: Bytes of a fingerprint (half over words, half over pairs of words), and those that candidates share at least.
 BYTES, SHARED = 64, 16
-#: Bytes of the SimHash over shingles that goes along, and the bits of it that pairs may differ in: at a similarity of 0.8 they differ in 156, with a deviation of 12.
-MORE, DIFFER = 128, 205
+#: Bytes of the SimHash over shingles that goes along, and the bits of it that pairs may differ in: at a similarity of 0.8 they differ in 311, with a deviation of 16, so one pair in 8,000 is missed.
+MORE, DIFFER = 256, 370
 #: Lists of the index: choices of three positions, half of them in each half of the fingerprint.
 LISTS = 80
 #: Shingles whose bits are added up at once, and members of a list that are compared at once.
@@ -143,8 +143,8 @@ def linked(a: list[int], b: list[int], similar) -> np.ndarray:
     return kept
 
 
-def verified(pairs: DataFrame, entries: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of entries, those that are near by their fingerprints and whose texts are similar enough, as many as connect all such pairs.
+def by_blocks(pairs: DataFrame, entries: DataFrame, columns: list[str], chosen) -> DataFrame:
+    """Of the pairs (a, b) of entries, those at the places that `chosen(a, b, held)` returns: a and b are places in `held`, a table of `columns` of entries.
 
     Pairs are dealt to tasks by blocks of both their rows, so that an entry goes along once for each block it has pairs with, not for each pair.
     """
@@ -152,25 +152,42 @@ def verified(pairs: DataFrame, entries: DataFrame) -> DataFrame:
     blocks = max(1, math.ceil(math.sqrt(pairs.count() / TOGETHER)))
     block = lambda column: F.pmod(F.xxhash64(column), F.lit(blocks))
     dealt = pairs.withColumns({"of_a": block("a"), "of_b": block("b")})
-    needed = dealt.select(F.col("of_a").alias("for_a"), F.col("of_b").alias("for_b"), F.explode(F.array("a", "b")).alias("_row")).distinct()
-    with_texts = needed.join(entries.select("_row", "_size", "_print", "_text"), "_row")
+    one, other = (dealt.select(F.col("of_a").alias("for_a"), F.col("of_b").alias("for_b"), F.col(k).alias("_row")).distinct() for k in "ab")
+    needed = one.union(other).distinct().join(entries.select("_row", *columns), "_row")
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, size, prints = right["_row"].to_numpy(), right["_size"].to_numpy(), as_bytes(right["_print"])
+        rows = right["_row"].to_numpy()
         order = np.argsort(rows)
-        i, j = (order[np.searchsorted(rows, left[k].to_numpy(), sorter=order)] for k in "ab")
-        at = np.concatenate([np.flatnonzero(near(prints[i[k : k + SLICE]], prints[j[k : k + SLICE]], size[i[k : k + SLICE]], size[j[k : k + SLICE]])) + k for k in range(0, len(i), SLICE)])
-        i, j = i[at].tolist(), j[at].tolist()
-        compared = sorted({*i, *j})
-        of = {row: shingles(text) for row, text in zip(compared, encoded(right["_text"].take(pa.array(compared, pa.int64())).combine_chunks()))}
+        a, b = (order[np.searchsorted(rows, left[k].to_numpy(), sorter=order)] for k in "ab")
+        return left.select(["a", "b"]).take(pa.array(chosen(a, b, right.select(columns)), pa.int64()))
+
+    return staged(dealt.groupBy("of_a", "of_b").cogroup(needed.groupBy("for_a", "for_b")).applyInArrow(work, "a long, b long"))
+
+
+def candidates(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Pairs that are near by their fingerprints."""
+
+    def chosen(a: np.ndarray, b: np.ndarray, held: pa.Table) -> np.ndarray:
+        size, prints = held["_size"].to_numpy(), as_bytes(held["_print"])
+        parts = ((a[k : k + SLICE], b[k : k + SLICE]) for k in range(0, len(a), SLICE))
+        return np.flatnonzero(np.concatenate([near(prints[x], prints[y], size[x], size[y]) for x, y in parts]))
+
+    return by_blocks(pairs, entries, ["_size", "_print"], chosen)
+
+
+def verified(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """Pairs whose texts are similar enough, as many as connect all such pairs."""
+
+    def chosen(a: np.ndarray, b: np.ndarray, held: pa.Table) -> np.ndarray:
+        of = [shingles(text) for text in encoded(held["_text"].combine_chunks())]
 
         def similar(x: int, y: int) -> bool:
             both = len(np.intersect1d(of[x], of[y], assume_unique=True))
             return UNDER * both >= OVER * (len(of[x]) + len(of[y]) - both)
 
-        return left.select(["a", "b"]).take(pa.array(at[linked(i, j, similar)], pa.int64()))
+        return np.flatnonzero(linked(a.tolist(), b.tolist(), similar))
 
-    return staged(dealt.groupBy("of_a", "of_b").cogroup(with_texts.groupBy("for_a", "for_b")).applyInArrow(work, "a long, b long"))
+    return by_blocks(pairs, entries, ["_text"], chosen)
 
 
 def across(batches):
@@ -216,7 +233,7 @@ def links(entries: DataFrame) -> DataFrame:
     several = every.groupBy("key").agg(F.min("_row").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = staged(every.join(several, "key"))
     first = staged(members.filter("_row != least").select(F.col("least").alias("a"), F.col("_row").alias("b")).distinct())
-    found = verified(first, entries)
+    found = verified(candidates(first, entries), entries)
     roots = components(found)
     grouped = members.join(roots, members["_row"] == roots.node, "left").select("key", "_row", F.coalesce("root", "_row").alias("root"))
     mixed_lists = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi and n > 2").select("key")

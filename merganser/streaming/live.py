@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from merganser.operators.novelty import RATE, UNIT, score_rows
+from merganser.operators.novelty import RATE, score_rows, units
 
 
 def scorer(cells: int, rate: float = RATE):
@@ -26,7 +26,7 @@ def scorer(cells: int, rate: float = RATE):
         for seq, won, act in zip(rows["seq"], rows["cells"], rows["activations"]):
             won, v = np.asarray(won, np.int64), np.maximum(np.asarray(act, np.float64), 0)
             out.append((key[0], seq, float(score_rows(v, logs[won])), bool(seq < last)))
-            logs[won] += np.rint(np.log(1 - rate * v / max(v.max(initial=0), 1)) * UNIT).astype(np.int64)
+            logs[won] += units(1 - rate * v / max(v.max(initial=0), 1))
             last = max(last, int(seq))
         state.update((logs.tobytes(), last))
         yield pd.DataFrame(out, columns=["key", "seq", "novelty", "late"])

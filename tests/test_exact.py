@@ -24,3 +24,10 @@ def test_logarithms_are_those_of_sql(spark):
     assert {r.cell: r.log for r in novelty.totals(halfway(spark)).collect()} == UNITS
     left = 1 - 0.4 * np.arange(1, 100_000) / 100_000
     assert novelty.units(left).tolist() == [math.floor(math.log(x) * 1e12 + 0.5) if math.log(x) * 1e12 % 1 != 0.5 else math.floor(math.log(x) * 1e12) for x in left.tolist()]
+
+
+def test_a_stored_state_has_the_logarithms_of_sql(spark, tmp_path):
+    settings = {"cells": 8}
+    store = Baselines(spark, str(tmp_path))
+    store.save("week", novelty.totals(halfway(spark)), settings, 1.0)
+    assert {r.cell: r.log for r in store.load("week", settings).collect()} == UNITS

@@ -22,9 +22,10 @@ def auc(rows: DataFrame, score: str = "score", label: str = "label") -> DataFram
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """rho: the correlation of ranks, from exact sums of doubled ranks."""
+    """rho: the correlation of ranks, from exact sums of doubled ranks; their products are summed as decimals, as a few million rows pass 2^63."""
     r = mean_ranks(mean_ranks(rows, a, "ra"), b, "rb").select((2 * F.col("ra")).cast("long").alias("x"), (2 * F.col("rb")).cast("long").alias("y"))
-    s = r.agg(F.count("*").cast("double").alias("n"), *(F.sum(e).cast("double").alias(k) for k, e in (("x", F.col("x")), ("y", F.col("y")), ("xx", F.col("x") * F.col("x")), ("yy", F.col("y") * F.col("y")), ("xy", F.col("x") * F.col("y")))))
+    product = lambda p, q: F.col(p).cast("decimal(19,0)") * F.col(q).cast("decimal(18,0)")
+    s = r.agg(F.count("*").cast("double").alias("n"), *(F.sum(F.col(k).cast("decimal(19,0)")).cast("double").alias(k) for k in "xy"), *(F.sum(product(*k)).cast("double").alias(k) for k in ("xx", "yy", "xy")))
     return s.select(F.round(F.expr("(n * xy - x * y) / sqrt((n * xx - x * x) * (n * yy - y * y))"), 6).alias("rho"))
 
 

@@ -5,7 +5,10 @@ import math
 import numpy as np
 import pytest
 
-from merganser.operators import novelty
+from pyspark.sql import functions as F
+
+from merganser.operators import evaluation, novelty, ranking, tags
+from merganser.plans import catalog
 from merganser.sources.baselines import Baselines
 
 
@@ -31,3 +34,12 @@ def test_a_stored_state_has_the_logarithms_of_sql(spark, tmp_path):
     store = Baselines(spark, str(tmp_path))
     store.save("week", novelty.totals(halfway(spark)), settings, 1.0)
     assert {r.cell: r.log for r in store.load("week", settings).collect()} == UNITS
+
+
+def test_rank_products_of_millions_of_rows_do_not_overflow(spark):
+    """Two columns of different order whose doubled ranks, squared and summed, pass 2^63."""
+    n = 2_000_000
+    rows = spark.range(n).selectExpr("id div 20000 as a", "(id * 7) % 100 as b")
+    a, b = np.arange(n) // 20000, np.arange(n) * 7 % 100
+    assert sum((2 * r) ** 2 for r in range(0, n, 100)) * 100 > 2**63
+    assert evaluation.spearman(rows, "a", "b").first().rho == pytest.approx(np.corrcoef(a, b)[0, 1], abs=2e-6)

@@ -43,3 +43,22 @@ def test_rank_products_of_millions_of_rows_do_not_overflow(spark):
     a, b = np.arange(n) // 20000, np.arange(n) * 7 % 100
     assert sum((2 * r) ** 2 for r in range(0, n, 100)) * 100 > 2**63
     assert evaluation.spearman(rows, "a", "b").first().rho == pytest.approx(np.corrcoef(a, b)[0, 1], abs=2e-6)
+
+
+def test_activations_are_summed_without_a_row_of_a_cell(spark):
+    """The same sums as the join form, from a plan that shuffles nothing."""
+    rng = np.random.default_rng(5)
+    wiring = ranking.wiring(64)
+    df = spark.createDataFrame([(i, q.tolist()) for i, q in enumerate(rng.integers(-1_000_000, 1_000_000, (40, wiring.shape[1])))], "seq long, q array<long>")
+    each = tags.activations(df, tags.wiring_table(spark, wiring), ["seq"]).groupBy("seq")
+    want = each.agg(F.count("*").alias("cells"), F.sum("activation").alias("total"), F.sum(F.col("activation") * (F.col("cell") + 1)).alias("weighted"), F.max("activation").alias("most"))
+    got = tags.activation_sums(df, wiring, ["seq"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert "Exchange" not in got._jdf.queryExecution().toString()
+
+
+def test_hash_activations_makes_no_row_of_a_cell(spark, tmp_path):
+    rows = [(i, i % 2, "click", float(i % 3), '{"k": %d}' % (i % 4)) for i in range(12)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    plan = catalog.QUERIES["hash_activations"](spark, str(tmp_path))._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "explode" not in plan

@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from merganser.operators import evaluation, novelty, ranking, tags
+from merganser.operators import evaluation, gates, novelty, ranking, tags
 from merganser.plans import catalog
 from merganser.sources.baselines import Baselines
 
@@ -62,3 +62,19 @@ def test_hash_activations_makes_no_row_of_a_cell(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     plan = catalog.QUERIES["hash_activations"](spark, str(tmp_path))._jdf.queryExecution().toString()
     assert "Generate" not in plan and "explode" not in plan
+
+
+def test_gate_over_all_rows_in_chunks(spark):
+    """Windows that begin in earlier chunks, numbers with gaps and missing scores, and no task that takes all rows."""
+    rng = np.random.default_rng(7)
+    x = [None if u < 0.1 else round(float(u), 6) for u in rng.random(500)]
+    at = np.cumsum(rng.integers(1, 90, 500)).tolist()
+    rows = spark.createDataFrame([("k", s, v) for s, v in zip(at, x)], "key string, seq long, novelty double")
+    plan = gates.rolling(rows, 0.9, 50, 20, chunk=16)
+    assert "applyInArrow" in (text := plan._jdf.queryExecution().toString()) or "FlatMapGroupsInArrow" in text
+    got = {r.seq: (r.cutoff, r.shown) for r in plan.collect()}
+    assert len(got) == 500
+    for i, (s, v) in enumerate(zip(at, x)):
+        last = [y for y in x[max(0, i - 49) : i + 1] if y is not None]
+        want = round(float(np.quantile(last, 0.9)), 10) if i >= 19 else None
+        assert got[s][0] == (None if want is None else pytest.approx(want, abs=1e-9)) and got[s][1] == (v is not None and want is not None and v >= got[s][0] and v > 0)

@@ -20,16 +20,22 @@ def scorer(cells: int, rate: float = RATE):
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        logs, last = (np.frombuffer(state.get[0], np.int64).copy(), state.get[1]) if state.exists else (np.zeros(cells, np.int64), -1)
-        rows = pd.concat([b[["seq", "cells", "activations"]] for b in batches]).sort_values("seq")
-        out = []
-        for seq, won, act in zip(rows["seq"], rows["cells"], rows["activations"]):
-            won, v = np.asarray(won, np.int64), np.maximum(np.asarray(act, np.float64), 0)
-            out.append((key[0], seq, float(score_rows(v, logs[won])), bool(seq < last)))
-            logs[won] += units(1 - rate * v / max(v.max(initial=0), 1))
-            last = max(last, int(seq))
-        state.update((logs.tobytes(), last))
-        yield pd.DataFrame(out, columns=["key", "seq", "novelty", "late"])
+        logs, last = (np.frombuffer(state.get[0], np.int64), state.get[1]) if state.exists else (np.zeros(cells, np.int64), -1)
+        seq, cells_of, acts = (np.concatenate(c) for c in zip(*((b["seq"].to_numpy(), b["cells"].to_numpy(), b["activations"].to_numpy()) for b in batches)))
+        order = np.argsort(seq, kind="stable")
+        seq, cells_of, acts = seq[order], cells_of[order], acts[order]
+        size = np.fromiter(map(len, cells_of), np.int64, len(seq))
+        # Tags as rows of one length: places past a tag's end are of a cell of their own and are not driven.
+        in_tag = np.arange(size.max(initial=1)) < size[:, None]
+        won, v, logs = np.full(in_tag.shape, cells), np.zeros(in_tag.shape), np.append(logs, 0)
+        won[in_tag], v[in_tag] = np.concatenate(cells_of), np.maximum(np.concatenate(acts), 0)
+        log = units(1 - rate * v / np.maximum(v.max(axis=1, keepdims=True), 1))
+        then = np.empty_like(log)
+        for i, (c, x) in enumerate(zip(won, log)):
+            then[i] = logs[c]
+            logs[c] += x
+        state.update((logs[:cells].tobytes(), max(last, int(seq[-1]))))
+        yield pd.DataFrame({"key": key[0], "seq": seq, "novelty": score_rows(v, then), "late": seq < last})
 
     return run
 

@@ -78,3 +78,13 @@ def test_gate_over_all_rows_in_chunks(spark):
         last = [y for y in x[max(0, i - 49) : i + 1] if y is not None]
         want = round(float(np.quantile(last, 0.9)), 10) if i >= 19 else None
         assert got[s][0] == (None if want is None else pytest.approx(want, abs=1e-9)) and got[s][1] == (v is not None and want is not None and v >= got[s][0] and v > 0)
+
+
+def test_long_streams_have_wider_micro_batches(spark, tmp_path):
+    rows = [("k" if i % 3 else "l", i * 5000, [i % 5, 5 + i % 3], [100 + i, 50 - i]) for i in range(60)]
+    some = spark.createDataFrame(rows, "key string, seq long, cells array<int>, activations array<long>")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(catalog, "fresh", lambda spark, name: str(tmp_path / name))
+        got = {(r.key, r.seq): (r.novelty, r.late) for r in catalog.streamed(spark, None, some).collect()}
+    assert got == {(r.key, r.seq): (pytest.approx(r.novelty, abs=2e-6), False) for r in novelty.live(some).collect()}
+    assert len(list((tmp_path / "stream" / "at" / "offsets").glob("[0-9]*"))) <= 17

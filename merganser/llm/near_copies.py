@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merganser.llm.shared import encoded, map_batches, staged
+from merganser.llm.shared import dropped, encoded, map_batches, staged
 from merganser.llm.simhash import LOWER, components
 
 WORDS = 5
@@ -161,7 +161,9 @@ def by_blocks(pairs: DataFrame, entries: DataFrame, columns: list[str], chosen)
         a, b = (order[np.searchsorted(rows, left[k].to_numpy(), sorter=order)] for k in "ab")
         return left.select(["a", "b"]).take(pa.array(chosen(a, b, right.select(columns)), pa.int64()))
 
-    return staged(dealt.groupBy("of_a", "of_b").cogroup(needed.groupBy("for_a", "for_b")).applyInArrow(work, "a long, b long"))
+    out = staged(dealt.groupBy("of_a", "of_b").cogroup(needed.groupBy("for_a", "for_b")).applyInArrow(work, "a long, b long"))
+    dropped(pairs)
+    return out
 
 
 def candidates(pairs: DataFrame, entries: DataFrame) -> DataFrame:
@@ -233,13 +235,16 @@ def links(entries: DataFrame) -> DataFrame:
     several = every.groupBy("key").agg(F.min("_row").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members = staged(every.join(several, "key"))
     first = staged(members.filter("_row != least").select(F.col("least").alias("a"), F.col("_row").alias("b")).distinct())
-    found = verified(candidates(first, entries), entries)
+    found = verified(near_first := candidates(first, entries), entries)
+    dropped(near_first)
     roots = components(found)
     grouped = members.join(roots, members["_row"] == roots.node, "left").select("key", "_row", F.coalesce("root", "_row").alias("root"))
     mixed_lists = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).filter("lo < hi and n > 2").select("key")
     rest = grouped.join(mixed_lists, "key").join(entries.select("_row", "_size", "_print"), "_row").select("key", "root", "_row", "_size", "_print")
     second = map_batches(rest.repartition("key").sortWithinPartitions("key"), across, "a long, b long")
-    return found.union(verified(second.join(first, ["a", "b"], "left_anti"), entries))
+    also = verified(second.join(first, ["a", "b"], "left_anti"), entries)
+    dropped(members, first)
+    return found.union(also)
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -52,10 +52,24 @@ def released(spark: SparkSession) -> None:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """`df` written to the run folder and read again: later steps don't compute it anew, and a lost executor loses nothing."""
-    path = f"{run_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """`df` written to the run folder and read again: later steps don't compute it anew, and a lost executor loses nothing.
+
+    Spark deletes the shuffle files of a finished step when the driver has collected its plan, which a driver with room to spare does late; so that is asked for here.
+    """
+    spark = df.sparkSession
+    path = f"{run_folder(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more: what was made of them is staged itself."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._staged_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def per_batch(make: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]]):

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merganser.llm.shared import encoded, map_batches, matched, per_batch, salted_join, staged
+from merganser.llm.shared import dropped, encoded, map_batches, matched, per_batch, salted_join, staged
 
 #: Bytes of a repeated string.
 LENGTH = 400
@@ -356,11 +356,13 @@ def kept_bytes(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def covered_starts(df: DataFrame, id_col: str, text_col: str, lengths: list[int], gram: int, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """(id, text_hash, n_bytes, sha256) of each row; (id, text_hash, found) of those with repeated strings, `found` being blocks (start, runs of starts from there)."""
-    docs = staged(document_blocks(df, id_col, text_col, lengths, gram))
-    every = docs.select(id_col, "text_hash", F.inline("blocks"))
+    """(id, text_hash, n_bytes, sha256) of each row; (id, text_hash, found) of those with repeated strings, `found` being blocks (start, runs of starts from there). Both are staged."""
+    full = staged(document_blocks(df, id_col, text_col, lengths, gram))
+    every = full.select(id_col, "text_hash", F.inline("blocks"))
     again = every.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
     seen = staged(salted_join(every, again, ["gram"]))
+    docs = staged(full.drop("blocks"))
+    dropped(full)
     wanted = seen.groupBy(id_col, "text_hash").agg(F.collect_set(F.struct("gram", "content", "offset", "starts", "start")).alias("wanted"))
     most = max(lengths)
 
@@ -398,9 +400,12 @@ def covered_starts(df: DataFrame, id_col: str, text_col: str, lengths: list[int]
                 repeated = repeated.unionByName(found)
     # A content of several is found in more than one way; its runs go back as one row.
     named = repeated.groupBy("gram", "content").agg(F.flatten(F.collect_list("found")).alias("found"))
-    places = salted_join(seen.select(id_col, "text_hash", "start", "gram", "content"), staged(named), ["gram", "content"])
-    found = places.groupBy(id_col, "text_hash").agg(F.collect_set(F.struct("start", "found")).alias("found"))
-    return docs.drop("blocks"), found
+    named = staged(named)
+    dropped(contents)
+    places = salted_join(seen.select(id_col, "text_hash", "start", "gram", "content"), named, ["gram", "content"])
+    found = staged(places.groupBy(id_col, "text_hash").agg(F.collect_set(F.struct("start", "found")).alias("found")))
+    dropped(seen, named)
+    return docs, found
 
 
 def runs_of(found: pa.ListArray, lengths: list[int]) -> list[list[list[tuple[int, int]]]]:
@@ -437,7 +442,6 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length:
     """
     lengths = [length] if passage is None else [length, passage]
     docs, found = covered_starts(df, id_col, text_col, lengths, gram, crowd)
-    found = staged(found)
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_passage"] * (passage is not None)
 
     def finish(batches):

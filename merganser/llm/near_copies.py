@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from merganser.llm.shared import dropped, encoded, map_batches, staged
+from merganser.llm.shared import dropped, encoded, map_batches, numbered, staged
 from merganser.llm.simhash import LOWER, components
 
 WORDS = 5
@@ -146,14 +146,15 @@ def linked(a: list[int], b: list[int], similar) -> np.ndarray:
 def by_blocks(pairs: DataFrame, entries: DataFrame, columns: list[str], chosen) -> DataFrame:
     """Of the pairs (a, b) of entries, those at the places that `chosen(a, b, held)` returns: a and b are places in `held`, a table of `columns` of entries.
 
-    Pairs are dealt to tasks by blocks of both their rows, so that an entry goes along once for each block it has pairs with, not for each pair.
+    Pairs are dealt to tasks by blocks of both their rows, so that an entry goes along once for each block it has pairs with, not for each pair. Entries without pairs aren't shuffled.
     """
     pairs = staged(pairs)
     blocks = max(1, math.ceil(math.sqrt(pairs.count() / TOGETHER)))
     block = lambda column: F.pmod(F.xxhash64(column), F.lit(blocks))
     dealt = pairs.withColumns({"of_a": block("a"), "of_b": block("b")})
     one, other = (dealt.select(F.col("of_a").alias("for_a"), F.col("of_b").alias("for_b"), F.col(k).alias("_row")).distinct() for k in "ab")
-    needed = one.union(other).distinct().join(entries.select("_row", *columns), "_row")
+    paired = numbered(entries, pairs.select(F.explode(F.array("a", "b")).alias("_row"))).select("_row", *columns)
+    needed = one.union(other).distinct().join(paired, "_row")
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = right["_row"].to_numpy()
@@ -262,10 +263,10 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", _key binary, _size long, _print binary"
     full = staged(map_batches(plain, work, schema).withColumn("_row", F.monotonically_increasing_id()))
     by_key = staged(full.groupBy("_key").agg(F.min("_row").alias("_row")))
-    entries = full.join(by_key.select("_row"), "_row", "left_semi").select("_row", "_size", "_print", F.col(text).cast("string").alias("_text"))
+    entries = numbered(full, by_key).select("_row", "_size", "_print", F.col(text).cast("string").alias("_text"))
     roots = components(links(entries))
     rooted = by_key.join(roots, by_key["_row"] == roots.node, "left").select("_key", F.coalesce("root", "_row").alias("_root"))
     rank = F.struct(F.col(id_).isNull().alias("x"), F.col(id_).alias("y"), F.col("_row").alias("z"))
     per_key = full.groupBy("_key").agg(F.min(rank).alias("r"))
     first = per_key.join(rooted, "_key").groupBy("_root").agg(F.min("r").alias("r")).select(F.col("r.z").alias("_row"))
-    return full.join(first, "_row", "left_semi").select(*places).toDF(*df.columns)
+    return numbered(full, first).select(*places).toDF(*df.columns)

@@ -120,3 +120,23 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
     dealt = left.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
     each = right.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     return dealt.join(each, [*keys, "_salt"]).drop("_salt")
+
+
+#: Numbers that one bitmap of 4 KB holds, as a power of two, and bitmaps that go to every task at most.
+SPAN, BITMAPS = 15, 10_000
+
+
+def numbered(df: DataFrame, numbers: DataFrame, column: str = "_row") -> DataFrame:
+    """The rows of `df` whose number is among `numbers`, a left semi-join: numbers go to the tasks that read `df` as bitmaps, so that `df` isn't shuffled.
+
+    Numbers are not negative and dense in stretches, as those of `monotonically_increasing_id` are. Where they take too many bitmaps, it is the plain join.
+    """
+    number = numbers.select(column)
+    bits = number.select(F.shiftright(column, SPAN).alias("_span"), F.col(column).bitwiseAND((1 << SPAN) - 1).alias("_bit"))
+    maps = staged(bits.repartition("_span").groupBy("_span").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+    if maps.count() > BITMAPS:
+        dropped(maps)
+        return df.join(number, column, "left_semi").select(*df.columns)
+    byte = f"cast(conv(hex(substring(_bits, cast((`{column}` & {(1 << SPAN) - 1}) div 8 + 1 as int), 1)), 16, 10) as int)"
+    found = df.join(F.broadcast(maps), F.shiftright(df[column], SPAN) == maps["_span"])
+    return found.filter(F.expr(f"getbit({byte}, cast(`{column}` & 7 as int)) = 1")).select(*(df[c] for c in df.columns))

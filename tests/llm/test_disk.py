@@ -1,5 +1,6 @@
 """What operators leave on disk while their result is read."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from merganser.llm import near_copies, shared, suffix_dedup
@@ -32,3 +33,28 @@ def test_near_copies_leave_no_lists(spark):
     out, there = left(spark, lambda: near_copies.one_of_each(docs(spark).withColumn("lang", F.lit("en"))))
     assert not any(c & {"key", "least"} for c in there)
     assert [r.doc_id for r in out.collect()] == [0]
+
+
+def test_rows_by_number_are_those_of_a_join(spark):
+    """Several partitions, first and last numbers, numbers named twice, and more bitmaps than may go to every task."""
+    rows = shared.staged(spark.range(0, 100_000, 1, 3).select("id", F.monotonically_increasing_id().alias("_row")))
+    few = rows.filter("id % 7 = 3 or id in (0, 32767, 32768, 99999)")
+    want = sorted(r.id for r in few.collect())
+    with pytest.MonkeyPatch.context() as m:
+        for most in (shared.BITMAPS, 1):
+            m.setattr(shared, "BITMAPS", most)
+            got = shared.numbered(rows, few.union(few))
+            assert got.columns == rows.columns and sorted(r.id for r in got.collect()) == want
+    assert shared.numbered(rows, few.limit(0)).count() == 0
+
+
+def test_near_copies_shuffle_no_texts(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        out = near_copies.one_of_each(docs(spark).withColumn("lang", F.lit("en")))
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().toString()
+        assert [r.doc_id for r in out.collect()] == [0]
+    finally:
+        spark.conf.set(key, before)

@@ -153,7 +153,8 @@ def by_blocks(pairs: DataFrame, entries: DataFrame, columns: list[str], chosen)
     block = lambda column: F.pmod(F.xxhash64(column), F.lit(blocks))
     dealt = pairs.withColumns({"of_a": block("a"), "of_b": block("b")})
     one, other = (dealt.select(F.col("of_a").alias("for_a"), F.col("of_b").alias("for_b"), F.col(k).alias("_row")).distinct() for k in "ab")
-    paired = numbered(entries, pairs.select(F.explode(F.array("a", "b")).alias("_row"))).select("_row", *columns)
+    ends = pairs.select(F.col("a").alias("_row")).union(pairs.select("b")).distinct()
+    paired = numbered(entries, ends).select("_row", *columns)
     needed = one.union(other).distinct().join(paired, "_row")
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:

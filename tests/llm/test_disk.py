@@ -58,3 +58,15 @@ def test_near_copies_shuffle_no_texts(spark):
         assert [r.doc_id for r in out.collect()] == [0]
     finally:
         spark.conf.set(key, before)
+
+
+def test_an_entry_of_many_pairs_is_named_once(spark):
+    """Entry 0 has pairs with all others: its number is dealt out once, not once a pair."""
+    entries = spark.range(40).selectExpr("id as _row", "id as _size")
+    pairs = spark.range(1, 40).selectExpr("0L as a", "id as b")
+    asked = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(near_copies, "numbered", lambda df, numbers: asked.append(sorted(r._row for r in numbers.collect())) or shared.numbered(df, numbers))
+        out = near_copies.by_blocks(pairs, entries, ["_size"], lambda a, b, held: [i for i, x in enumerate(held["_size"].take(b).to_pylist()) if x % 2])
+    assert asked == [list(range(40))]
+    assert sorted(r.b for r in out.collect()) == list(range(1, 40, 2)) and out.filter("a != 0").count() == 0
